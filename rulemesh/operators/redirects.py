@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulemesh.functions.errors import error_category
-from rulemesh.functions.urls import absolutize, idn_url, is_redirect, last_location, scheme_error
+from rulemesh.functions.urls import absolutize, idn_url, is_redirect, last_location, scheme, scheme_error
 from rulemesh.operators.index import RuleIndex
 from rulemesh.operators.joins import HOT_ROWS, fits_broadcast, keyed_join
 from rulemesh.operators.rewrite import transform_urls
@@ -35,7 +35,11 @@ def resolve_platform(
 
 
 def capture_heads(captures: DataFrame) -> DataFrame:
-    """``url, http_code, location, error`` of each capture, without its body."""
+    """``url, http_code, location, error`` of each capture, without its body.
+
+    The input of :func:`resolve_redirects`; a caller that resolves more than
+    once does well to store it.
+    """
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     location = last_location(F.col("headers"))
     followed = is_redirect(F.col("http_code"))
@@ -52,49 +56,56 @@ def capture_heads(captures: DataFrame) -> DataFrame:
     )
 
 
+def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
+    """``url, kind, http_code, error``: kind is final, error or redirect.
+
+    With rules, a Location of an unknown scheme is an error of its capture.
+    """
+    moved = F.col("error").isNull() & F.col("location").isNotNull()
+    foreign = F.lit(None).cast("string")
+    if rules_given:
+        absolute = moved & (scheme(F.col("location")) != "")
+        foreign = F.when(absolute, scheme_error(F.col("location")))
+    fault = F.coalesce(F.col("error"), foreign)
+    return heads.select("url", "http_code", "location", fault.alias("error")).select(
+        "url",
+        F.when(F.col("error").isNotNull(), F.lit("error"))
+        .when(F.col("location").isNotNull(), F.lit("redirect"))
+        .otherwise(F.lit("final"))
+        .alias("kind"),
+        "http_code",
+        "error",
+    )
+
+
 def _redirect_edges(
-    heads: DataFrame, index: RuleIndex | None, platforms_of: DataFrame | None
+    heads: DataFrame, index: RuleIndex | None, rulesets: DataFrame | None
 ) -> DataFrame:
-    """``url, next_url, next_platform`` of each redirect that can be followed.
+    """``current, next_url, next_platform`` of each redirect.
 
     Every Location is resolved and rewritten once here, not once per hop.
     """
-    located = heads.filter(F.col("error").isNull() & F.col("location").isNotNull()).select(
-        F.col("url").alias("from_url"), absolutize(F.col("url"), F.col("location")).alias("url")
-    )
+    resolved = absolutize(F.col("url"), F.col("location"))
+    moved = heads.filter(F.col("error").isNull() & F.col("location").isNotNull())
     no_platform = F.lit(None).cast("string").alias("next_platform")
     if index is None:
-        return located.select("from_url", idn_url(F.col("url")).alias("next_url"), no_platform)
+        return moved.select(
+            F.col("url").alias("current"), idn_url(resolved).alias("next_url"), no_platform
+        )
+    located = cut_lineage(moved.select(F.col("url").alias("current"), resolved.alias("url")))
     rewritten = transform_urls(located, index).filter(F.col("error").isNull())
     target = idn_url(F.col("new_url")).alias("next_url")
-    if platforms_of is None:
-        return rewritten.select("from_url", target, no_platform)
-    named = platforms_of.select("ruleset_id", F.col("platform").alias("next_platform"))
+    if rulesets is None:
+        return rewritten.select("current", target, no_platform)
+    named = rulesets.select("ruleset_id", F.col("platform").alias("next_platform"))
     return keyed_join(
         rewritten, named, "ruleset_id", "left", fits=index.fits, hot_rows=index.hot_rows
-    ).select("from_url", target, "next_platform")
-
-
-def _nodes(heads: DataFrame, edges: DataFrame, rules_given: bool) -> DataFrame:
-    """``url, kind, http_code, error``: kind is final, error or redirect."""
-    resolved = absolutize(F.col("url"), F.col("location"))
-    scheme = scheme_error(resolved) if rules_given else F.lit(None).cast("string")
-    located = F.col("error").isNull() & F.col("location").isNotNull()
-    fault = F.when(located, scheme).otherwise(F.col("error"))
-    return heads.select(
-        "url",
-        F.when(fault.isNotNull(), F.lit("error"))
-        .when(F.col("location").isNotNull(), F.lit("redirect"))
-        .otherwise(F.lit("final"))
-        .alias("kind"),
-        "http_code",
-        fault.alias("error"),
-    )
+    ).select("current", target, "next_platform")
 
 
 def resolve_redirects(
     starts: DataFrame,
-    captures: DataFrame,
+    heads: DataFrame,
     index: RuleIndex | None = None,
     rulesets: DataFrame | None = None,
     max_depth: int = 10,
@@ -103,7 +114,8 @@ def resolve_redirects(
 ) -> DataFrame:
     """Final response of each start URL.
 
-    ``starts`` has ``start_url`` and, optionally, ``platform``. With an
+    ``starts`` has ``start_url`` and, optionally, ``platform``; ``heads`` comes
+    from :func:`capture_heads`. With an
     ``index`` every Location is rewritten by the rules before it is followed,
     and ``rulesets`` gives the platform of the rule set that did it; otherwise
     the start's platform holds again. At most ``max_depth`` captures are read.
@@ -127,9 +139,8 @@ def resolve_redirects(
         idn_url(F.col("start_url")).alias("current"),
     ).distinct()
 
-    heads = capture_heads(captures)
-    edges = _redirect_edges(heads, index, rulesets)
-    nodes = _nodes(heads, edges, index is not None)
+    edges = cut_lineage(_redirect_edges(heads, index, rulesets))
+    nodes = _nodes(heads, index is not None)
 
     behind = nodes.select(
         F.col("url").alias("next_url"),
@@ -140,7 +151,7 @@ def resolve_redirects(
     missing = F.col("next_kind").isNull()
     steps = cut_lineage(
         keyed_join(edges, behind, "next_url", "left", hot_rows=hot_rows).select(
-            F.col("from_url").alias("current"),
+            "current",
             "next_url",
             "next_platform",
             F.coalesce("next_kind", F.lit("error")).alias("next_kind"),
@@ -149,9 +160,10 @@ def resolve_redirects(
         )
     )
 
+    # Distinct starts: no key is hot here.
     own = nodes.withColumnRenamed("url", "current")
     state = cut_lineage(
-        keyed_join(begun, own, "current", "left", hot_rows=hot_rows).select(
+        begun.join(own, "current", "left").select(
             "start_url",
             "start_platform",
             "current",

@@ -89,9 +89,9 @@ def json_document(results: DataFrame, coverage: DataFrame) -> DataFrame:
             F.concat(F.lit('], "'), "section", F.lit('": [')).alias("text"),
         )
     )
-    frame = results.sparkSession.createDataFrame(
-        [(0, "coverage", 0, '{"coverage": ['), (2, "", 0, "]}")],
-        "part int, section string, line int, text string",
+    frame = results.sparkSession.sql(
+        """SELECT * FROM VALUES (0, 'coverage', 0, '{"coverage": ['), (2, '', 0, ']}')
+           AS t(part, section, line, text)"""
     )
     return frame.unionByName(openings).unionByName(body)
 

@@ -18,7 +18,7 @@ from rulemesh.operators.corpus import (
 )
 from rulemesh.operators.coverage import coverage_gate, coverage_problems, what_applies
 from rulemesh.operators.index import RuleIndex, build_rule_index
-from rulemesh.operators.redirects import pair_captures, resolve_redirects
+from rulemesh.operators.redirects import capture_heads, pair_captures, resolve_redirects
 from rulemesh.operators.rewrite import apply_ruleset, not_excluded, transform_urls
 from rulemesh.session import cut_lineage
 from rulemesh.sources.rulesets import (
@@ -88,15 +88,18 @@ def tested_pairs(
     )
     if static_ca_set is not None:
         tests = tests.withColumn("platform", F.lit(static_ca_set))
+    # Both are read by two resolutions, the tests once more by the pairing.
+    tests = cut_lineage(tests)
+    heads = cut_lineage(capture_heads(captures))
     plain = resolve_redirects(
         tests.select(F.col("url").alias("start_url")),
-        captures,
+        heads,
         max_depth=max_depth,
         hot_rows=index.hot_rows,
     )
     secure = resolve_redirects(
         tests.filter("new_url IS NOT NULL").select(F.col("new_url").alias("start_url"), "platform"),
-        captures,
+        heads,
         index,
         corpus.rulesets,
         max_depth=max_depth,

@@ -16,13 +16,20 @@ from rulemesh.operators.corpus import Corpus
 
 # Two rule sets beside those of the sites: a wildcard in the middle, and a
 # leftmost one that covers about a third of all hosts.
-EXTRA_RULESETS = [("aa-www-com.xml", "Any www com"), ("zz-any-org.xml", "Any org")]
-EXTRA_TARGETS = [("aa-www-com.xml", 0, "www.*.example.com"), ("zz-any-org.xml", 0, "*.example.org")]
-EXTRA_RULES = [
-    ("aa-www-com.xml", 0, r"^http://www\.([^/.]+)\.example\.com/", "https://www.$1.example.com/"),
-    ("zz-any-org.xml", 0, r"^http://([^/.]+)\.example\.org/", "https://$1.example.org/"),
-    ("zz-any-org.xml", 1, r"^http://(m|blog)\.", "https://$1."),
-]
+EXTRA_RULESETS = """
+  SELECT * FROM VALUES
+    ('aa-www-com.xml', 'Any www com'),
+    ('zz-any-org.xml', 'Any org') AS t(ruleset_id, name)"""
+EXTRA_TARGETS = """
+  SELECT * FROM VALUES
+    ('aa-www-com.xml', 0, 'www.*.example.com'),
+    ('zz-any-org.xml', 0, '*.example.org') AS t(ruleset_id, pos, host)"""
+EXTRA_RULES = r"""
+  SELECT * FROM VALUES
+    ('aa-www-com.xml', 0, r'^http://www\.([^/.]+)\.example\.com/', 'https://www.$1.example.com/'),
+    ('zz-any-org.xml', 0, r'^http://([^/.]+)\.example\.org/', 'https://$1.example.org/'),
+    ('zz-any-org.xml', 1, r'^http://(m|blog)\.', 'https://$1.')
+    AS t(ruleset_id, pos, from_pattern, to_template)"""
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,11 +70,11 @@ def corpus(spark: SparkSession, folder: str, include_default_off: bool = False)
     by_site = sites(spark, folder).filter(kept)
     identity = _ruleset_id(site).alias("ruleset_id")
 
-    extra = spark.createDataFrame(EXTRA_RULESETS, "ruleset_id string, name string")
+    extra = spark.sql(EXTRA_RULESETS)
     rulesets = by_site.select(
         identity,
         F.initcap(F.substring_index("site", ".", 1)).alias("name"),
-        F.when(F.length(site) % 5 == 0, F.lit("cacert")).otherwise(F.lit("default")).alias("platform"),
+        F.when(F.length(site) % 3 == 0, F.lit("cacert")).otherwise(F.lit("default")).alias("platform"),
         F.when(F.length(site) % 7 == 0, F.lit("breaks login")).alias("default_off"),
         F.sha2(ruleset_xml(site), 256).alias("file_sha256"),
     ).unionByName(
@@ -82,9 +89,7 @@ def corpus(spark: SparkSession, folder: str, include_default_off: bool = False)
     targets = by_site.select(
         identity,
         F.posexplode(F.array(site, F.concat(F.lit("*."), site))).alias("pos", "host"),
-    ).unionByName(
-        spark.createDataFrame(EXTRA_TARGETS, "ruleset_id string, pos int, host string")
-    )
+    ).unionByName(spark.sql(EXTRA_TARGETS))
     rules = (
         by_site.select(
             identity,
@@ -101,11 +106,7 @@ def corpus(spark: SparkSession, folder: str, include_default_off: bool = False)
             ).alias("pos", "rule"),
         )
         .select("ruleset_id", "pos", "rule.*")
-        .unionByName(
-            spark.createDataFrame(
-                EXTRA_RULES, "ruleset_id string, pos int, from_pattern string, to_template string"
-            )
-        )
+        .unionByName(spark.sql(EXTRA_RULES))
         .withColumn("to_java", java_template(F.col("to_template")))
     )
     exclusions = by_site.select(
@@ -136,7 +137,7 @@ def ruleset_xml(site: Column) -> Column:
         "  <rule from=\"^http:\" to=\"https:\" />\n</ruleset>\n",
         site,
         F.initcap(F.substring_index(site, ".", 1)),
-        F.when(F.length(site) % 5 == 0, F.lit(' platform="cacert"')).otherwise(F.lit("")),
+        F.when(F.length(site) % 3 == 0, F.lit(' platform="cacert"')).otherwise(F.lit("")),
         F.when(F.length(site) % 7 == 0, F.lit(' default_off="breaks login"')).otherwise(F.lit("")),
         site,
         site,
@@ -188,7 +189,7 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     Plain: every 17th page failed, every 11th is 404, every 13th redirects to
     the next page (or, every 26th, to itself), the rest are 200.
     Twins: every 19th failed, every 7th is 404, every 23rd redirects, and every
-    third has the body of the next page.
+    fourth has the body of the next page.
     """
     source = with_site(pages(spark, folder))
     following = pages(spark, folder).select(
@@ -231,15 +232,16 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     )
     twins = joined.filter(F.col("url").startswith("http://")).select(
         secure_twin(F.col("url"), F.col("host"), F.col("site")).alias("url"),
-        F.when(page % 3 == 0, F.coalesce("next_html", "html")).otherwise(F.col("html")).alias("body"),
+        F.when(page % 4 == 0, F.coalesce("next_html", "html")).otherwise(F.col("html")).alias("body"),
         *response(page % 19 == 0, page % 7 == 0, page % 23 == 0, F.col("next_url")),
     )
     return plain.unionByName(twins)
 
 
 def platforms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [("default", "mozilla"), ("cacert", "mozilla+cacert")], "platform string, ca_set string"
+    return spark.sql(
+        "SELECT * FROM VALUES ('default', 'mozilla'), ('cacert', 'mozilla+cacert')"
+        " AS t(platform, ca_set)"
     )
 
 
@@ -252,6 +254,34 @@ def page_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return left.join(right, "page_id")
 
 
+def twin_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each http page and its https twin, as ``page_id, left_url, right_url``."""
+    http = with_site(pages(spark, folder).select("page_id", "url")).filter(
+        F.col("url").startswith("http://")
+    )
+    twin = secure_twin(F.col("url"), F.col("host"), F.col("site"))
+    return http.select("page_id", F.col("url").alias("left_url"), twin.alias("right_url"))
+
+
+def flawed_corpus(spark: SparkSession, folder: str) -> Corpus:
+    """The corpus with faults: names shortened so that some files share one,
+    further targets that no rule rewrites, and targets without a dot."""
+    whole = corpus(spark, folder)
+    label = F.substring(F.regexp_replace("ruleset_id", r"\..*$", ""), 1, 5)
+    renamed = whole.rulesets.withColumn("name", label)
+    odd = renamed.select(
+        "ruleset_id",
+        F.lit(2).alias("pos"),
+        F.when(F.length("ruleset_id") % 2 == 0, label)
+        .otherwise(F.concat(F.lit("cdn."), label, F.lit(".example.edu")))
+        .alias("host"),
+    )
+    only_site_rule = whole.rules.filter((F.col("pos") == 0) | (F.length("ruleset_id") % 3 == 0))
+    return Corpus(
+        renamed, whole.targets.unionByName(odd), only_site_rule, whole.exclusions, whole.tests
+    )
+
+
 def certs(spark: SparkSession, folder: str) -> DataFrame:
     """A certificate file per customer; many have the same content."""
     customer = spark.read.parquet(f"{folder}/customer.parquet")

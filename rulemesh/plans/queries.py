@@ -296,10 +296,10 @@ def pair_captures(spark, folder):
 
 def resolve_redirects(spark, folder):
     tables = derived.corpus(spark, folder)
-    shown = derived.captures(spark, folder)
+    heads = redirects.capture_heads(derived.captures(spark, folder))
     return redirects.resolve_redirects(
-        shown.select(col("url").alias("start_url")),
-        shown,
+        heads.select(col("url").alias("start_url")),
+        heads,
         build_rule_index(tables),
         tables.rulesets,
     ).select("start_url", "final_url", "http_code", "hops", "error", "is_cycle", "platform")
@@ -417,10 +417,9 @@ def novelty_distance(spark, folder):
 
 
 def big_distance(spark, folder):
-    distances = compare.novelty_distance(
-        derived.page_pairs(spark, folder), derived.pages(spark, folder).withColumnRenamed("html", "body")
-    )
-    return compare.big_distance(distances, 0.9).select("page_id", "distance")
+    shown = derived.captures(spark, folder)
+    distances = compare.page_distance("bsdiff", derived.twin_pairs(spark, folder), shown)
+    return compare.big_distance(distances).select("page_id", "distance")
 
 
 def disable_failing(spark, folder):
@@ -432,7 +431,7 @@ def disable_failing(spark, folder):
 
 
 def corpus_lint(spark, folder):
-    tables = derived.corpus(spark, folder)
+    tables = derived.flawed_corpus(spark, folder)
     return coverage.corpus_lint(tables, build_rule_index(tables))
 
 

@@ -29,7 +29,7 @@ def accepted_scheme(url: Column) -> Column:
 def scheme_error(url: Column) -> Column:
     """NULL for an accepted URL, else the text of the rejection."""
     text = F.format_string("Unknown scheme '%s' in '%s'", scheme(url), url)
-    return F.when(~accepted_scheme(url), F.coalesce(text, F.lit("Unknown scheme")))
+    return F.when(url.isNull(), F.lit("Unknown scheme")).when(~accepted_scheme(url), text)
 
 
 def host_key(url: Column) -> Column:

@@ -13,6 +13,29 @@ from rulemesh.functions.urls import status_class
 SHINGLE_WORDS = 4
 
 
+def lost_response() -> Column:
+    """The plain page is there (2xx) and the rewritten one is not."""
+    return F.coalesce(
+        (status_class(F.col("plain_code")) == 2) & (status_class(F.col("new_code")) != 2),
+        F.lit(False),
+    )
+
+
+def comparable(pairs: DataFrame) -> DataFrame:
+    """Pairs whose pages are compared, with ``left_url, right_url``: both
+    responses are known and nothing was lost."""
+    known = (
+        F.col("plain_error").isNull() & F.col("new_error").isNull() & F.col("regex_error").isNull()
+    )
+    return pairs.filter(known & ~lost_response()).select(
+        "ruleset_id",
+        "url",
+        "new_url",
+        F.col("plain_final_url").alias("left_url"),
+        F.col("new_final_url").alias("right_url"),
+    )
+
+
 def verdict(pairs: DataFrame) -> DataFrame:
     """``result, details, fname, url, https_url, message, returned`` per test.
 
@@ -22,10 +45,7 @@ def verdict(pairs: DataFrame) -> DataFrame:
     """
     broken_rule = F.col("regex_error").isNotNull()
     fetch_failed = F.col("new_error").isNotNull()
-    lost = F.coalesce(
-        (status_class(F.col("plain_code")) == 2) & (status_class(F.col("new_code")) != 2),
-        F.lit(False),
-    )
+    lost = lost_response()
     result = (
         F.when(broken_rule, F.lit("regex_error"))
         .when(fetch_failed | lost, F.lit("error"))

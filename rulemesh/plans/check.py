@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemesh.operators.compare import big_distance, page_distance, verdict
+from rulemesh.operators.compare import big_distance, comparable, page_distance, verdict
 from rulemesh.operators.corpus import (
     Corpus,
     active_rulesets,
@@ -134,14 +134,5 @@ def check_corpus(
         tested_pairs(corpus, captures, index, max_depth, url_list, static_ca_set)
     )
     results = verdict(pairs)
-    comparable = pairs.filter(
-        F.col("plain_error").isNull() & F.col("new_error").isNull() & F.col("regex_error").isNull()
-    ).select(
-        "ruleset_id",
-        "url",
-        "new_url",
-        F.col("plain_final_url").alias("left_url"),
-        F.col("new_final_url").alias("right_url"),
-    )
-    far = big_distance(page_distance(metric, comparable, captures), max_distance)
+    far = big_distance(page_distance(metric, comparable(pairs), captures), max_distance)
     return CheckRun(results, coverage, coverage_gate(coverage), far)

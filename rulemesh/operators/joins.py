@@ -29,23 +29,33 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict[int, list]:
-    """Fan-out to the keys that need it; a bounded, pre-aggregated top-k."""
-    top = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.col("_n").desc())
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
+def key_profile(
+    df: DataFrame, key: str, hot_rows: int = HOT_ROWS
+) -> tuple[int, dict[int, list]]:
+    """Number of rows, and the hot keys by the fan-out they need.
+
+    One pre-aggregated pass; only if some key is hot a second one fetches the
+    bounded list of them.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col(key).isNotNull(), F.col("_n"))
+    whole = counts.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.max(known), F.lit(0)).alias("most"),
+    ).first()
     tiers: dict[int, list] = {}
-    for row in top:
-        wanted = row["_n"] / hot_rows
-        fanout = next((f for f in FANOUTS if f >= wanted), FANOUTS[-1])
-        tiers.setdefault(fanout, []).append(row[key])
-    return tiers
+    if whole["most"] > hot_rows:
+        top = (
+            counts.filter(F.col(key).isNotNull() & (F.col("_n") > hot_rows))
+            .orderBy(F.col("_n").desc())
+            .limit(MAX_HOT_KEYS)
+            .collect()
+        )
+        for row in top:
+            wanted = row["_n"] / hot_rows
+            fanout = next((f for f in FANOUTS if f >= wanted), FANOUTS[-1])
+            tiers.setdefault(fanout, []).append(row[key])
+    return whole["rows"], tiers
 
 
 def _tiered(tiers: dict[int, list], key: Column, value, otherwise: Column) -> Column:
@@ -65,6 +75,7 @@ def keyed_join(
     how: str = "inner",
     fits: bool = False,
     hot_rows: int = HOT_ROWS,
+    tiers: dict[int, list] | None = None,
 ) -> DataFrame:
     """``large`` joined with ``keyed`` on the column ``key`` both have.
 
@@ -72,11 +83,13 @@ def keyed_join(
     does not move then. Otherwise both sides are shuffled on the key, and the
     rows of every hot key of ``large`` go to several tasks, each of which gets a
     copy of that key's ``keyed`` rows. Every large row meets exactly one copy,
-    so inner, left, semi and anti joins keep their results.
+    so inner, left, semi and anti joins keep their results. ``tiers`` are the hot
+    keys where the caller has profiled ``large`` already.
     """
     if fits:
         return large.join(F.broadcast(keyed), key, how)
-    tiers = hot_keys(large, key, hot_rows)
+    if tiers is None:
+        _, tiers = key_profile(large, key, hot_rows)
     if not tiers:
         return large.join(keyed, key, how)
     spread = F.xxhash64(*large.columns)

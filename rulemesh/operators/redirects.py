@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulemesh.functions.errors import error_category
 from rulemesh.functions.urls import absolutize, idn_url, is_redirect, last_location, scheme, scheme_error
 from rulemesh.operators.index import RuleIndex
-from rulemesh.operators.joins import HOT_ROWS, fits_broadcast, keyed_join
+from rulemesh.operators.joins import HOT_ROWS, fits_broadcast, key_profile, keyed_join
 from rulemesh.operators.rewrite import transform_urls
 from rulemesh.session import cut_lineage
 
@@ -183,7 +183,8 @@ def resolve_redirects(
     for _ in range(max_depth - 1):
         finished.append(state.filter(F.col("kind") != "redirect"))
         under_way = state.filter(F.col("kind") == "redirect")
-        if under_way.isEmpty():
+        rows, tiers = key_profile(under_way, "current", hot_rows)
+        if rows == 0:
             state = under_way
             break
         again = F.array_contains("seen", F.col("next_url"))
@@ -197,7 +198,7 @@ def resolve_redirects(
                 under_way.drop("kind", "http_code", "error", "is_cycle", "platform"),
                 steps,
                 "current",
-                hot_rows=hot_rows,
+                tiers=tiers,
             ).select(
                 "start_url",
                 "start_platform",

@@ -43,14 +43,21 @@ def load_corpus(
     skiplist: DataFrame | None = None,
     include_default_off: bool = False,
 ) -> LoadedCorpus:
-    """Read, skip, parse, validate. The files are parsed once and kept in the
-    checkpoint folder, since five tables are cut from the result."""
+    """Read, skip, parse, validate. The parsed files, and the tables cut from
+    them, are kept in the checkpoint folder, since every later step reads them."""
     files = load_rulesets(spark, paths)
     wanted = files if skiplist is None else skip_known(files, skiplist)
     parsed = cut_lineage(parse_rulesets(wanted))
     whole = normalise(wellformed_rulesets(parsed))
     active = whole.keep(active_rulesets(whole.rulesets, include_default_off))
-    corpus, rejected = usable_elements(active)
+    usable, rejected = usable_elements(active)
+    corpus = Corpus(
+        rulesets=cut_lineage(usable.rulesets),
+        targets=cut_lineage(usable.targets),
+        rules=cut_lineage(usable.rules),
+        exclusions=cut_lineage(usable.exclusions),
+        tests=cut_lineage(usable.tests),
+    )
     return LoadedCorpus(
         corpus, rejected, malformed_rulesets(parsed), parsed.select("ruleset_id", "content")
     )

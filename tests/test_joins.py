@@ -1,6 +1,6 @@
 import pytest
 
-from rulemesh.operators.joins import fits_broadcast, hot_keys, keyed_join, measured_bytes
+from rulemesh.operators.joins import fits_broadcast, key_profile, keyed_join, measured_bytes
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,10 @@ def test_salted_join_keeps_the_result(sides, how):
 
 def test_hot_keys_get_a_fan_out_by_size(sides):
     large, _ = sides
-    assert hot_keys(large, "key", 100) == {4: ["hot"]}
-    assert hot_keys(large, "key", 10) == {64: ["hot"]}
-    assert hot_keys(large, "key", 1000) == {}
+    assert key_profile(large, "key", 100) == (381, {4: ["hot"]})
+    assert key_profile(large, "key", 10) == (381, {64: ["hot"]})
+    assert key_profile(large, "key", 1000) == (381, {})
+    assert key_profile(large.limit(0), "key") == (0, {})
 
 
 def test_size_is_measured(spark):

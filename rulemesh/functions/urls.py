@@ -23,7 +23,7 @@ def scheme(url: Column) -> Column:
 
 
 def accepted_scheme(url: Column) -> Column:
-    return F.coalesce(scheme(url).isin(*ACCEPTED_SCHEMES), F.lit(False))
+    return F.coalesce(url.rlike(r"^(?i:" + "|".join(ACCEPTED_SCHEMES) + "):"), F.lit(False))
 
 
 def scheme_error(url: Column) -> Column:

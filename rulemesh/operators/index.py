@@ -14,6 +14,9 @@ from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, keyed_join
 CHUNK = 256
 # Wildcard shapes written into the plan; a corpus with more joins them instead.
 MAX_SHAPES = 256
+# Look-ups per URL, one for each wildcard shape, up to which rewriting needs no
+# shuffle at all.
+MAX_LOOKUPS = 12
 
 RULE_HIT = "struct<pos:int,new_url:string,error:string>"
 
@@ -39,6 +42,9 @@ class RuleIndex:
     shapes: tuple[Shape, ...] | None  # None: too many to write into the plan
     fits: bool  # all three tables together may be broadcast
     one_list: bool  # no rule set has more than one list of either kind
+    # target_host, rulesets: everything a host needs in one row, to broadcast;
+    # None where that is too large or takes too many look-ups per URL.
+    by_target: DataFrame | None = None
     hot_rows: int = HOT_ROWS
 
 
@@ -52,7 +58,6 @@ def _target_shapes(targets: DataFrame) -> DataFrame:
     return targets.select(
         F.size(F.split("host", r"\.")).alias("labels"),
         stars.alias("stars"),
-        (F.octet_length("host") + F.octet_length("ruleset_id") + 32).alias("bytes"),
     )
 
 
@@ -62,7 +67,24 @@ def _in_lists(elements: DataFrame, columns: list[str]) -> DataFrame:
     return (
         elements.withColumn("_list", F.floor(F.col("pos") / CHUNK))
         .groupBy("ruleset_id", "_list")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
+    )
+
+
+def _by_target(targets: DataFrame, rules: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """One row per target text with the lists of all its rule sets, by id."""
+    ruleset = F.struct("ruleset_id", F.col("_exclusions"), F.col("_rules"))
+    return (
+        targets.join(
+            exclusions.select("ruleset_id", F.col("items").alias("_exclusions")),
+            "ruleset_id",
+            "left",
+        )
+        .join(
+            rules.select("ruleset_id", F.col("items").alias("_rules")), "ruleset_id", "left"
+        )
+        .groupBy(F.col("host").alias("target_host"))
+        .agg(F.sort_array(F.collect_list(ruleset)).alias("rulesets"))
     )
 
 
@@ -72,8 +94,7 @@ def build_rule_index(
     """Two aggregations over the corpus find its shapes and its size."""
     shapes = (
         _target_shapes(corpus.targets)
-        .groupBy("labels", "stars")
-        .agg(F.sum("bytes").alias("bytes"))
+        .distinct()
         .limit(MAX_SHAPES + 1)
         .collect()
     )
@@ -82,32 +103,74 @@ def build_rule_index(
     rules = corpus.rules
     if "error" not in rules.columns:
         rules = rules.withColumn("error", F.lit(None).cast("string"))
-    rule_texts = rules.select(
-        "pos", F.concat("ruleset_id", "from_pattern", "to_java").alias("text")
-    )
-    exclusion_texts = corpus.exclusions.select(
-        "pos", F.concat("ruleset_id", "pattern").alias("text")
+
+    def weighed(elements: DataFrame, *texts: str) -> DataFrame:
+        return elements.select(
+            "ruleset_id",
+            F.col("pos").cast("int").alias("last"),
+            (F.octet_length(F.concat("ruleset_id", *texts)) + 64).alias("bytes"),
+            F.lit(0).alias("targets"),
+        )
+
+    counted = corpus.targets.select(
+        "ruleset_id",
+        F.lit(0).alias("last"),
+        (F.octet_length(F.concat("ruleset_id", "host")) + 64).alias("bytes"),
+        F.lit(1).alias("targets"),
     )
     measured = (
-        rule_texts.unionByName(exclusion_texts)
+        weighed(rules, "from_pattern", "to_java")
+        .unionByName(weighed(corpus.exclusions, "pattern"))
+        .unionByName(counted)
+        .groupBy("ruleset_id")
+        .agg(
+            F.max("last").alias("last"),
+            F.sum("bytes").alias("bytes"),
+            F.sum("targets").alias("targets"),
+        )
         .agg(
-            F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes"),
-            F.coalesce(F.max("pos"), F.lit(0)).alias("last"),
+            F.coalesce(F.max("last"), F.lit(0)).alias("last"),
+            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum(F.col("bytes") * F.col("targets")), F.lit(0)).alias("repeated"),
         )
         .first()
     )
-    total = measured["bytes"] + sum(row["bytes"] for row in shapes)
+    one_list = measured["last"] < CHUNK
+    fits = few and measured["bytes"] <= broadcast_bytes
+    found = tuple(Shape(r["labels"], tuple(r["stars"])) for r in shapes) if few else None
+    targets = corpus.targets.select("ruleset_id", "host")
+    rule_lists = _in_lists(rules, ["from_pattern", "to_java", "error"])
+    exclusion_lists = _in_lists(corpus.exclusions, ["pattern"])
+    lookups = sum(1 for shape in found or () if shape.stars) + 1
+    shuffle_free = (
+        fits
+        and one_list
+        and lookups <= MAX_LOOKUPS
+        and measured["repeated"] <= broadcast_bytes
+    )
     return RuleIndex(
-        targets=corpus.targets.select("ruleset_id", "host"),
-        rules=_in_lists(rules, ["from_pattern", "to_java", "error"]),
-        exclusions=_in_lists(corpus.exclusions, ["pattern"]),
-        shapes=tuple(Shape(r["labels"], tuple(r["stars"])) for r in shapes) if few else None,
-        fits=few and total <= broadcast_bytes,
-        one_list=measured["last"] < CHUNK,
+        targets=targets,
+        rules=rule_lists,
+        exclusions=exclusion_lists,
+        shapes=found,
+        fits=fits,
+        one_list=one_list,
+        by_target=_by_target(targets, rule_lists, exclusion_lists) if shuffle_free else None,
         hot_rows=hot_rows,
     )
 
 
+def literal_keys(host: Column, shapes: tuple[Shape, ...]) -> list[Column]:
+    """The target texts that would cover the host, NULL where none of a shape."""
+    labels = F.split(host, r"\.")
+    size = F.size(labels)
+    keys = [_literal_key(labels, size, shape) for shape in shapes if shape.stars]
+    depths = [shape.labels for shape in shapes if not shape.stars]
+    if depths:
+        keys.append(F.when(size.isin(depths), host))
+    return keys
+
+
 def _literal_key(labels: Column, size: Column, shape: Shape) -> Column:
     """The target text of this shape that would cover the host, else NULL."""
     applies = (size >= shape.labels) if shape.open else (size == shape.labels)
@@ -127,12 +190,7 @@ def host_target_keys(hosts: DataFrame, index: RuleIndex) -> DataFrame:
     """
     labels = F.split("host", r"\.")
     if index.shapes is not None:
-        depths = [shape.labels for shape in index.shapes if not shape.stars]
-        keys = [
-            _literal_key(labels, F.size(labels), shape) for shape in index.shapes if shape.stars
-        ]
-        if depths:
-            keys.append(F.when(F.size(labels).isin(depths), F.col("host")))
+        keys = literal_keys(F.col("host"), index.shapes)
         keyed = hosts.withColumn(
             "target_host", F.explode(F.array(*keys) if keys else F.array().cast("array<string>"))
         )

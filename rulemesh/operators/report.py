@@ -148,7 +148,7 @@ def disable_failing(
     gathered = (
         lines.join(small, "ruleset_id", "left_semi")
         .groupBy("ruleset_id")
-        .agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("lines"))
     )
     documents = gathered.select(
         "ruleset_id", F.array_join(F.col("lines.text"), "\n").alias("content")

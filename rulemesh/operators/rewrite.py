@@ -12,6 +12,7 @@ from rulemesh.operators.index import (
     first_match,
     first_rule_hit,
     host_target_keys,
+    literal_keys,
     with_first,
 )
 from rulemesh.operators.joins import keyed_join
@@ -117,41 +118,95 @@ def _candidates(urls: DataFrame, index: RuleIndex) -> DataFrame:
     return covered.select(*urls.columns, "ruleset_id")
 
 
-def transform_urls(urls: DataFrame, index: RuleIndex) -> DataFrame:
-    """Rewrite each URL by the rule sets that cover its host.
-
-    Input rows have a column ``url`` and any identifying columns; equal rows
-    give one result. Adds ``new_url, ruleset_id, rule_pos, ambiguous, error``.
-    The first rule set, by id, that changes the URL wins; ``ambiguous`` says
-    that another would have changed it too. An unknown scheme is an error.
-    """
-    hits = (
-        with_first(
-            not_excluded(_candidates(urls, index), index),
-            index.rules,
-            index,
-            "_hit",
-            first_rule_hit(F.col("url"), F.col("items")),
+def _hits_by_lookup(urls: DataFrame, index: RuleIndex) -> DataFrame:
+    """``urls`` with ``_hits``, by broadcast look-ups only: no row moves."""
+    looked = urls.withColumn(
+        "_host",
+        F.when(accepted_scheme(F.col("url")), idn_ascii(host_key(F.col("url")))),
+    )
+    keys = literal_keys(F.col("_host"), index.shapes)
+    looked = looked.select("*", *[key.alias(f"_key{i}") for i, key in enumerate(keys)])
+    known = F.broadcast(index.by_target)
+    for i in range(len(keys)):
+        side = known.select(
+            F.col("target_host").alias(f"_key{i}"), F.col("rulesets").alias(f"_sets{i}")
         )
-        .filter(F.col("_hit").isNotNull())
-        .select(*urls.columns, "ruleset_id", "_hit")
+        looked = looked.join(side, f"_key{i}", "left")
+    none = F.array().cast(index.by_target.schema["rulesets"].dataType)
+    sets = [F.coalesce(f"_sets{i}", none) for i in range(len(keys))]
+    url = F.col("url")
+    excluded = lambda s: first_match(url, s["_exclusions"], "pattern").isNotNull()
+    hits = F.transform(
+        F.sort_array(F.concat(*sets) if sets else none),
+        lambda s: F.struct(
+            s["ruleset_id"].alias("ruleset_id"),
+            F.when(~excluded(s), first_rule_hit(url, s["_rules"])).alias("_hit"),
+        ),
     )
+    return looked.select(*urls.columns, F.filter(hits, lambda h: h["_hit"].isNotNull()).alias("_hits"))
+
+
+def _first_by_lookup(urls: DataFrame, index: RuleIndex) -> DataFrame:
+    found = _hits_by_lookup(urls, index)
+    first = F.try_element_at("_hits", F.lit(1))
+    last = F.try_element_at("_hits", F.lit(-1))
+    return found.select(
+        *urls.columns,
+        first.alias("_first"),
+        (first["ruleset_id"] != last["ruleset_id"]).alias("_several"),
+    )
+
+
+def _first_by_grouping(urls: DataFrame, index: RuleIndex) -> DataFrame:
+    """The same by joins on host and rule set and one aggregation by URL row."""
+    hits = with_first(
+        not_excluded(_candidates(urls, index), index),
+        index.rules,
+        index,
+        "_hit",
+        first_rule_hit(F.col("url"), F.col("items")),
+    ).select(*urls.columns, "ruleset_id", "_hit", F.lit(0).alias("_copies"))
     untouched = urls.select(
         *urls.columns,
         F.lit(None).cast("string").alias("ruleset_id"),
         F.lit(None).cast(RULE_HIT).alias("_hit"),
+        F.lit(1).alias("_copies"),
     )
-    first = F.min(F.when(F.col("ruleset_id").isNotNull(), F.struct("ruleset_id", "_hit")))
-    merged = (
+    changed_by = F.when(F.col("_hit").isNotNull(), F.col("ruleset_id"))
+    return (
         untouched.unionByName(hits)
         .groupBy(*urls.columns)
         .agg(
-            first.alias("_first"),
-            (F.min("ruleset_id") != F.max("ruleset_id")).alias("_several"),
+            F.min(F.when(F.col("_hit").isNotNull(), F.struct("ruleset_id", "_hit"))).alias(
+                "_first"
+            ),
+            (F.min(changed_by) != F.max(changed_by)).alias("_several"),
+            F.sum("_copies").cast("int").alias("_copies"),
         )
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*urls.columns, "_first", "_several")
+    )
+
+
+def transform_urls(urls: DataFrame, index: RuleIndex) -> DataFrame:
+    """Rewrite each URL by the rule sets that cover its host.
+
+    Input rows have a column ``url`` and any other columns; each gives one row.
+    Adds ``new_url, ruleset_id, rule_pos, ambiguous, error``. The first rule
+    set, by id, that changes the URL wins; ``ambiguous`` says that another would
+    have changed it too. An unknown scheme is an error.
+
+    A corpus measured to fit a broadcast is looked up in place and the URLs are
+    not shuffled; a larger one is joined.
+    """
+    if index.by_target is not None:
+        merged = _first_by_lookup(urls, index)
+    else:
+        merged = _first_by_grouping(urls, index)
+    merged = merged.withColumn(
+        "_error", F.coalesce(scheme_error(F.col("url")), F.col("_first._hit.error"))
     )
-    rejected = scheme_error(F.col("url"))
-    error = F.coalesce(rejected, F.col("_first._hit.error"))
+    error = F.col("_error")
     return merged.select(
         *urls.columns,
         F.when(error.isNull(), F.coalesce("_first._hit.new_url", "url")).alias("new_url"),

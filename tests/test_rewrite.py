@@ -72,10 +72,13 @@ def test_apply_ruleset(spark, make_corpus, way):
     assert pairs.count() - not_excluded(pairs, index).count() == 2
 
 
-@pytest.mark.parametrize("way", ["broadcast", "shuffle", "salted"])
+@pytest.mark.parametrize("way", ["in place", "broadcast", "shuffle", "salted"])
 def test_transform_urls(spark, make_corpus, way):
     index = build_rule_index(make_corpus(SETS))
-    if way != "broadcast":
+    assert index.by_target is not None
+    if way != "in place":
+        index = replace(index, by_target=None)
+    if way in ("shuffle", "salted"):
         index = replace(index, fits=False, hot_rows=1 if way == "salted" else index.hot_rows)
     urls = spark.createDataFrame(
         [
@@ -91,6 +94,7 @@ def test_transform_urls(spark, make_corpus, way):
         "id int, url string",
     )
     result = transform_urls(urls, index)
+    assert transform_urls(urls.unionByName(urls), index).count() == 16  # a row for each row
     assert rows(result, "id", "new_url", "ruleset_id", "rule_pos", "ambiguous", "error") == {
         (1, "http://www.B.com/x", "b.xml", 1, True, None),  # b.xml before c.xml
         (6, "http://www.B.com/x", "b.xml", 1, True, None),

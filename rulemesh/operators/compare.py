@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rulemesh.functions.markup import outline_distance_udf, outline_udf
 from rulemesh.functions.urls import status_class
+from rulemesh.operators.joins import fits_broadcast
+from rulemesh.session import cut_lineage
 
 SHINGLE_WORDS = 4
 
@@ -79,11 +81,7 @@ def verdict(pairs: DataFrame) -> DataFrame:
 
 
 def page_outlines(pages: DataFrame) -> DataFrame:
-    """``url, body_sha256, body_length, outline`` of each page.
-
-    The outline is made once per page, where the page is read; the body itself
-    takes no part in any later join.
-    """
+    """``url, body_sha256, body_length, outline`` of each page."""
     return pages.select(
         "url",
         F.sha2("body", 256).alias("body_sha256"),
@@ -92,56 +90,56 @@ def page_outlines(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_shingles(pages: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``url, body_sha256, body_length, shingles`` of each page.
-
-    Distinct runs of ``words`` white-space separated words; a shorter page is
-    one shingle.
-    """
-    tokens = F.filter(F.split("body", r"[ \t\r\n\f]+"), lambda t: t != "")
+def shingles(body: Column, words: int = SHINGLE_WORDS) -> Column:
+    """Distinct runs of ``words`` white-space separated words; a shorter text is
+    one shingle."""
+    tokens = F.filter(F.split(body, r"[ \t\r\n\f]+"), lambda t: t != "")
     runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_words") - words + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice("_words", i, F.lit(words)), " "),
+        F.array(tokens),
+        lambda t: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(t) - words + 1, F.lit(1))),
+            lambda i: F.array_join(F.slice(t, i, F.lit(words)), " "),
+        ),
     )
-    return (
-        pages.select("url", "body", tokens.alias("_words"))
-        .select(
-            "url",
-            F.sha2("body", 256).alias("body_sha256"),
-            F.length("body").alias("body_length"),
-            F.when(F.col("_words").isNotNull(), F.array_distinct(runs)).alias("shingles"),
-        )
+    return F.array_distinct(runs[0])
+
+
+def _needed(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that occur in a pair, where their URLs fit a broadcast; the
+    bodies are not shuffled for it. Otherwise all pages."""
+    urls = pairs.select(F.col("left_url").alias("url")).unionByName(
+        pairs.select(F.col("right_url").alias("url"))
     )
+    if not fits_broadcast(urls):
+        return pages
+    return pages.join(F.broadcast(urls.distinct()), "url", "left_semi")
 
 
-def _paired(pairs: DataFrame, digests: DataFrame, kept: list[str]) -> DataFrame:
-    """``pairs`` with the digest columns of both pages, ``l_`` and ``r_``."""
+def _paired(pairs: DataFrame, pages: DataFrame, kept: list[str]) -> DataFrame:
+    """``pairs`` with the columns ``kept`` of both pages, as ``l_`` and ``r_``."""
 
     def side(key: str, mark: str) -> DataFrame:
-        return digests.select(
+        return pages.select(
             F.col("url").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in kept]
         )
 
     return pairs.join(side("left_url", "l"), "left_url").join(side("right_url", "r"), "right_url")
 
 
-def _trivial(column: str) -> Column:
-    """Distance where it needs no comparison: equal pages, or one without content."""
-    equal = F.col("l_body_sha256") == F.col("r_body_sha256")
-    return F.when(equal, F.lit(0.0)).when(
-        F.col(f"l_{column}").isNull() | F.col(f"r_{column}").isNull(), F.lit(1.0)
-    )
-
-
 def markup_distance(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``distance`` of page structure to rows ``left_url, right_url, ...``.
 
-    Zero for equal pages or outlines, one if either page has no element. Only
-    pairs of unequal outlines carry them to Python; the others send NULLs.
+    Each page is parsed once, where it is read, and its outline stored; bodies
+    take no part in the joins. Zero for equal pages or outlines, one if either
+    page has no element. Only pairs of unequal outlines carry them to Python;
+    the others send NULLs.
     """
-    both = _paired(pairs, page_outlines(pages), ["body_sha256", "body_length", "outline"])
-    easy = F.coalesce(
-        _trivial("outline"), F.when(F.col("l_outline") == F.col("r_outline"), F.lit(0.0))
+    outlines = cut_lineage(page_outlines(_needed(pairs, pages)))
+    both = _paired(pairs, outlines, ["body_sha256", "body_length", "outline"])
+    easy = (
+        F.when(F.col("l_body_sha256") == F.col("r_body_sha256"), F.lit(0.0))
+        .when(F.col("l_outline").isNull() | F.col("r_outline").isNull(), F.lit(1.0))
+        .when(F.col("l_outline") == F.col("r_outline"), F.lit(0.0))
     )
     judged = both.withColumn("_easy", easy)
     hard = F.col("_easy").isNull()
@@ -164,16 +162,34 @@ def novelty_distance(
     """Adds ``distance``: the larger share of shingles one page has alone.
 
     A stand-in for the share of unmatched bytes of a binary difference: same
-    range and symmetry, other numbers.
+    range and symmetry, other numbers. The shingles of a page outweigh its body,
+    so they are made after the bodies have met, and not for equal bodies.
     """
-    both = _paired(pairs, page_shingles(pages, words), ["body_sha256", "body_length", "shingles"])
-    larger = F.greatest(F.size("l_shingles"), F.size("r_shingles"))
-    shared = F.size(F.array_intersect("l_shingles", "r_shingles"))
-    return both.select(
+    both = _paired(pairs, _needed(pairs, pages).select("url", "body"), ["body"])
+    differ = F.col("l_body") != F.col("r_body")
+    shared = both.select(
         *pairs.columns,
-        F.col("l_body_length").alias("left_length"),
-        F.col("r_body_length").alias("right_length"),
-        F.coalesce(_trivial("shingles"), (larger - shared) / larger).alias("distance"),
+        F.length("l_body").alias("left_length"),
+        F.length("r_body").alias("right_length"),
+        F.when(
+            differ,
+            F.struct(
+                shingles(F.col("l_body"), words).alias("l"),
+                shingles(F.col("r_body"), words).alias("r"),
+            ),
+        ).alias("_sets"),
+        (F.col("l_body").isNull() | F.col("r_body").isNull()).alias("_unknown"),
+    )
+    larger = F.greatest(F.size("_sets.l"), F.size("_sets.r"))
+    common = F.size(F.array_intersect("_sets.l", "_sets.r"))
+    return shared.select(
+        *pairs.columns,
+        "left_length",
+        "right_length",
+        F.when(F.col("_unknown"), F.lit(1.0))
+        .when(F.col("_sets").isNull(), F.lit(0.0))
+        .otherwise((larger - common) / larger)
+        .alias("distance"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rulemesh.functions.patterns import java_template, pattern_compiles, template_fits
 from rulemesh.functions.urls import idn_ascii
+from rulemesh.operators.joins import fits_broadcast, keyed_join
 
 
 @dataclass(frozen=True)
@@ -31,9 +32,10 @@ class Corpus:
     def keep(self, rulesets: DataFrame) -> Corpus:
         """The part of the corpus that belongs to the given rule sets."""
         ids = rulesets.select("ruleset_id")
+        fits = fits_broadcast(ids)
 
         def part(table: DataFrame) -> DataFrame:
-            return table.join(ids, "ruleset_id", "left_semi")
+            return keyed_join(table, ids, "ruleset_id", "left_semi", fits=fits)
 
         return Corpus(
             rulesets,
@@ -89,7 +91,10 @@ def active_rulesets(rulesets: DataFrame, include_default_off: bool = False) -> D
 def skip_known(rulesets: DataFrame, skiplist: DataFrame) -> DataFrame:
     """Rule sets whose file digest is not in the skiplist."""
     known = skiplist.select(F.col("sha256").alias("file_sha256"))
-    return rulesets.join(known, "file_sha256", "left_anti").select(rulesets.columns)
+    kept = keyed_join(
+        rulesets, known, "file_sha256", "left_anti", fits=fits_broadcast(known)
+    )
+    return kept.select(rulesets.columns)
 
 
 def derive_tests(corpus: Corpus) -> DataFrame:
@@ -106,8 +111,8 @@ def derive_tests(corpus: Corpus) -> DataFrame:
 def validate_rules(corpus: Corpus) -> DataFrame:
     """Every rule and exclusion with ``valid`` and ``error``.
 
-    The distinct patterns and templates are tried on the JVM's own regex
-    engine, the one that later runs them, so nothing that passes can fail a job.
+    Patterns and templates are tried on the JVM's own regex engine, the one
+    that later runs them, so nothing that passes can fail a job.
     """
     elements = corpus.rules.select(
         "ruleset_id",

@@ -12,6 +12,7 @@ from rulemesh.functions.patterns import (
 )
 from rulemesh.operators.corpus import Corpus
 from rulemesh.operators.index import RuleIndex, first_match, with_first
+from rulemesh.operators.joins import fits_broadcast, keyed_join
 from rulemesh.operators.rewrite import apply_ruleset
 
 
@@ -69,7 +70,9 @@ def needed_tests(corpus: Corpus, own_pattern: bool = False) -> DataFrame:
         last = corpus.rules.groupBy("ruleset_id").agg(
             F.max_by(question_marks(F.col("from_pattern")), "pos").alias("_off")
         )
-        exclusions = exclusions.join(last, "ruleset_id", "left")
+        exclusions = keyed_join(
+            exclusions, last, "ruleset_id", "left", fits=fits_broadcast(last)
+        )
     return rules.unionByName(
         exclusions.select(
             "ruleset_id",
@@ -111,7 +114,10 @@ def element_coverage(
 def coverage_problems(
     corpus: Corpus, applied: DataFrame, own_pattern: bool = False
 ) -> DataFrame:
-    """Unmatched tests and elements with too few tests, with messages."""
+    """Unmatched tests and elements with too few tests, with messages.
+
+    ``applied`` is read twice; a caller with many tests stores it first.
+    """
     element = F.when(
         F.col("kind") == "rule",
         F.concat(
@@ -186,12 +192,12 @@ def corpus_lint(corpus: Corpus, index: RuleIndex) -> DataFrame:
         )
     )
     names = corpus.rulesets.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    duplicates = corpus.rulesets.join(names, "name").select(
+    duplicates = keyed_join(corpus.rulesets, names, "name", hot_rows=index.hot_rows).select(
         F.lit("duplicate_name").alias("kind"), F.col("name").alias("subject"), "ruleset_id", "n"
     )
     claims = corpus.targets.select("host", "ruleset_id").distinct()
     shared_hosts = claims.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = claims.join(shared_hosts, "host").select(
+    shared = keyed_join(claims, shared_hosts, "host", hot_rows=index.hot_rows).select(
         F.lit("shared_host").alias("kind"), F.col("host").alias("subject"), "ruleset_id", "n"
     )
     incomplete = corpus.targets.filter(~F.col("host").contains(".")).select(

@@ -237,12 +237,19 @@ def resolve_redirects(
     )
 
 
-def pair_captures(tests: DataFrame, plain: DataFrame, rewritten: DataFrame) -> DataFrame:
+def pair_captures(
+    tests: DataFrame, plain: DataFrame, rewritten: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Plain and rewritten response beside each test.
 
     ``tests`` has ``url, new_url, platform``; the two others are results of
     :func:`resolve_redirects`. A failed plain fetch leaves its code NULL.
     """
+
+    def start_of(url: str, platform: str):
+        size = F.length(platform).cast("string")
+        return F.concat(size, F.lit(":"), F.col(platform), F.col(url)).alias("_start")
+
     first = plain.select(
         F.col("start_url").alias("url"),
         F.col("http_code").alias("plain_code"),
@@ -250,10 +257,11 @@ def pair_captures(tests: DataFrame, plain: DataFrame, rewritten: DataFrame) -> D
         F.col("error").alias("plain_error"),
     )
     second = rewritten.select(
-        F.col("start_url").alias("new_url"),
-        F.col("start_platform").alias("platform"),
+        start_of("start_url", "start_platform"),
         F.col("http_code").alias("new_code"),
         F.col("final_url").alias("new_final_url"),
         F.col("error").alias("new_error"),
     )
-    return tests.join(first, "url", "left").join(second, ["new_url", "platform"], "left")
+    with_plain = keyed_join(tests, first, "url", "left", hot_rows=hot_rows)
+    started = with_plain.select("*", start_of("new_url", "platform"))
+    return keyed_join(started, second, "_start", "left", hot_rows=hot_rows).drop("_start")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulemesh.operators.joins import fits_broadcast, keyed_join
+
 DISABLED_TEXT = "failed ruleset test"
 
 
@@ -120,8 +122,11 @@ def disabled_lines(
         F.lit(0).alias("part"),
         F.lit(f"\n<!--\nDisabled by {tool} because:").alias("text"),
     )
-    listed = problems.join(failing.select("ruleset_id"), "ruleset_id", "left_semi").select(
-        "ruleset_id", F.lit(1).alias("part"), F.replace("message", F.lit("--"), F.lit("- -")).alias("text")
+    ids = failing.select("ruleset_id")
+    listed = keyed_join(problems, ids, "ruleset_id", "left_semi", fits=fits_broadcast(ids)).select(
+        "ruleset_id",
+        F.lit(1).alias("part"),
+        F.replace("message", F.lit("--"), F.lit("- -")).alias("text"),
     )
     body = failing.select(
         "ruleset_id",
@@ -145,12 +150,13 @@ def disable_failing(
     lines = disabled_lines(files, problems, tool)
     sizes = lines.groupBy("ruleset_id").agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
     small = sizes.filter(F.col("bytes") <= max_bytes).select("ruleset_id")
+    fits = fits_broadcast(small)
     gathered = (
-        lines.join(small, "ruleset_id", "left_semi")
+        keyed_join(lines, small, "ruleset_id", "left_semi", fits=fits)
         .groupBy("ruleset_id")
         .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("lines"))
     )
     documents = gathered.select(
         "ruleset_id", F.array_join(F.col("lines.text"), "\n").alias("content")
     )
-    return documents, lines.join(small, "ruleset_id", "left_anti")
+    return documents, keyed_join(lines, small, "ruleset_id", "left_anti", fits=fits)

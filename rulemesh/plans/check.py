@@ -18,6 +18,7 @@ from rulemesh.operators.corpus import (
 )
 from rulemesh.operators.coverage import coverage_gate, coverage_problems, what_applies
 from rulemesh.operators.index import RuleIndex, build_rule_index
+from rulemesh.operators.joins import keyed_join
 from rulemesh.operators.redirects import capture_heads, pair_captures, resolve_redirects
 from rulemesh.operators.rewrite import apply_ruleset, not_excluded, transform_urls
 from rulemesh.session import cut_lineage
@@ -90,9 +91,9 @@ def tested_pairs(
             "rule_pos",
             F.col("error").alias("regex_error"),
         )
-    tests = rewritten.join(platforms, "ruleset_id", "left").withColumn(
-        "platform", F.coalesce("platform", F.lit("default"))
-    )
+    tests = keyed_join(
+        rewritten, platforms, "ruleset_id", "left", fits=index.fits, hot_rows=index.hot_rows
+    ).withColumn("platform", F.coalesce("platform", F.lit("default")))
     if static_ca_set is not None:
         tests = tests.withColumn("platform", F.lit(static_ca_set))
     # Both are read by two resolutions, the tests once more by the pairing.
@@ -113,7 +114,7 @@ def tested_pairs(
         static_platform=static_ca_set,
         hot_rows=index.hot_rows,
     )
-    return pair_captures(tests, plain, secure)
+    return pair_captures(tests, plain, secure, index.hot_rows)
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,7 @@ def check_corpus(
 ) -> CheckRun:
     """Coverage, verdicts and page distances of a corpus over captures."""
     index = build_rule_index(corpus)
-    applied = what_applies(derive_tests(corpus), index)
+    applied = cut_lineage(what_applies(derive_tests(corpus), index))
     coverage = coverage_problems(corpus, applied)
     pairs = cut_lineage(
         tested_pairs(corpus, captures, index, max_depth, url_list, static_ca_set)

@@ -22,7 +22,7 @@ from rulemesh.operators import compare, coverage, redirects, report, rewrite
 from rulemesh.operators import corpus as corpus_ops
 from rulemesh.operators.index import build_rule_index
 from rulemesh.plans import check, derived
-from rulemesh.session import ship_package
+from rulemesh.session import cut_lineage, ship_package
 from rulemesh.sources.certs import with_digest
 from rulemesh.sources.lists import parse_skiplist, parse_url_list
 from rulemesh.sources.rulesets import malformed_rulesets, parse_rulesets, wellformed_rulesets
@@ -92,7 +92,7 @@ def url_list(spark, folder):
 
 def json_report(spark, folder):
     tables, index, pairs = _run(spark, folder)
-    applied = coverage.what_applies(corpus_ops.derive_tests(tables), index)
+    applied = cut_lineage(coverage.what_applies(corpus_ops.derive_tests(tables), index))
     problems = coverage.coverage_problems(tables, applied)
     return report.json_document(compare.verdict(pairs), problems)
 
@@ -319,14 +319,18 @@ def trusted_closure(spark, folder):
     roots = _table(spark, folder, "region").filter("r_name <> 'ASIA'").select(
         derived.node("region", col("r_regionkey")).alias("der_sha256")
     )
-    unfit = _table(spark, folder, "customer").filter("c_acctbal < 0").select(
-        derived.node("customer", col("c_custkey")).alias("der_sha256")
-    )
-    candidates = (
-        edges.select(col("subject_sha256").alias("der_sha256"))
-        .distinct()
-        .join(unfit, "der_sha256", "left_anti")
-    )
+    held = {
+        "nation": _table(spark, folder, "nation").select(col("n_nationkey").alias("key")),
+        "supplier": _table(spark, folder, "supplier").select(col("s_suppkey").alias("key")),
+        "order": _table(spark, folder, "orders").select(col("o_orderkey").alias("key")),
+        "customer": _table(spark, folder, "customer")
+        .filter("c_acctbal >= 0")
+        .select(col("c_custkey").alias("key")),
+    }
+    parts = [df.select(derived.node(kind, col("key")).alias("der_sha256")) for kind, df in held.items()]
+    candidates = parts[0]
+    for part in parts[1:]:
+        candidates = candidates.unionByName(part)
     return cert_ops.trusted_closure(roots, candidates, edges)
 
 
@@ -335,9 +339,8 @@ def trusted_closure(spark, folder):
 
 def _applied(spark, folder):
     tables = derived.corpus(spark, folder)
-    return tables, coverage.what_applies(
-        corpus_ops.derive_tests(tables), build_rule_index(tables)
-    )
+    applied = coverage.what_applies(corpus_ops.derive_tests(tables), build_rule_index(tables))
+    return tables, cut_lineage(applied)
 
 
 def unmatched_tests(spark, folder):

@@ -92,7 +92,9 @@ def keyed_join(
         _, tiers = key_profile(large, key, hot_rows)
     if not tiers:
         return large.join(keyed, key, how)
-    spread = F.xxhash64(*large.columns)
+    # The partition takes part so that equal rows are spread as well; both parts
+    # are the same again when a lost task is repeated.
+    spread = F.xxhash64(*large.columns, F.spark_partition_id())
     salted = large.withColumn(
         "_salt",
         _tiered(

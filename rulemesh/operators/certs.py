@@ -34,15 +34,19 @@ def trusted_closure(
     joined with the edges; a broadcast needs their size to be measured first,
     and an issuer of very many subjects is spread over tasks.
     """
+    subjects = candidates.select(F.col("der_sha256").alias("subject_sha256"))
     edges = (
-        issues.join(
-            candidates.select(F.col("der_sha256").alias("subject_sha256")),
+        keyed_join(
+            issues,
+            subjects,
             "subject_sha256",
             "left_semi",
+            fits=fits_broadcast(subjects),
+            hot_rows=hot_rows,
         )
-        .filter(F.col("issuer_sha256") != F.col("subject_sha256"))
         .select("issuer_sha256", "subject_sha256")
     )
+    # Read again in every round.
     edges = cut_lineage(edges)
     trusted = cut_lineage(
         roots.select("der_sha256").distinct().select("der_sha256", F.lit(0).alias("round"))

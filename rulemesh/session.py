@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,11 +29,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; only a session
-    without one (a test) gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one.
+
+    That is ``spark.checkpoint.dir``, else the folder of ``SparkContext.setCheckpointDir``. Only
+    a session whose executors run in the driver's process (a test) may go without and gets a
+    folder of its own; elsewhere the executors would each write to their own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="rulemesh-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/rulemesh-{spark.sparkContext.applicationId}"
@@ -45,7 +52,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     their columns, and its size is known to the planner. It outlives executors.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

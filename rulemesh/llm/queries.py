@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemesh.llm import minhash, toxicity
+from rulemesh.llm import bpe, minhash, token_store, toxicity
 from rulemesh.llm.common import fold, table
+from rulemesh.session import shared_folder
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +27,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).select("doc_id", held_out, "score", "predicted")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
+    return token_store.summary(spark, path)
+
+
 QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_toxicity": op6_toxicity,
+    "op7_bpe": op7_bpe,
+    "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemesh.llm import bpe, minhash, token_store, toxicity
+from rulemesh.llm import bpe, decontaminate, minhash, pii, secrets, spans, token_store, toxicity
 from rulemesh.llm.common import fold, table
 from rulemesh.session import shared_folder
 
@@ -16,6 +16,18 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the benchmark items it holds, by id, and the greatest similarity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+        F.array_max(F.transform("leaks", lambda x: x["similarity"])).alias("similarity"),
+    )
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +43,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs).select("doc_id", *spans.digests("personal", pii.BASE))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find(docs).select("doc_id", *spans.digests("secrets", secrets.BASE))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write(table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
@@ -38,9 +60,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_personal_data": op8_personal_data,
+    "op9_secrets": op9_secrets,
     "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {}

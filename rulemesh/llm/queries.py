@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemesh.llm import bpe, decontaminate, minhash, pii, secrets, spans, token_store, toxicity
+from rulemesh.llm import (
+    bpe,
+    decontaminate,
+    fingerprint,
+    langid,
+    minhash,
+    pii,
+    secrets,
+    spans,
+    token_store,
+    toxicity,
+    warc,
+)
 from rulemesh.llm.common import fold, table
 from rulemesh.session import shared_folder
 
@@ -28,10 +40,29 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return indexed.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        "url_key", "captured_at", "position",
+    )
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
+    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -61,7 +92,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_web_archive": op3_web_archive,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_personal_data": op8_personal_data,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rulemesh.llm import bpe, decontaminate, minhash, pii, toxicity
 from rulemesh.llm.common import table
 from rulemesh.llm.queries import TOKENIZER
-from rulemesh.session import cut_lineage
+from rulemesh.session import cut_lineage, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    ship_package(spark)
     return minhash.keep_one(docs)
 
 
@@ -31,11 +32,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    ship_package(spark)
     return pii.redact(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the ids, and digests of the ids and of what they decode to."""
+    ship_package(spark)
     kept = docs.select("doc_id", "text", "lang", "source")
     return bpe.round_trips(kept, TOKENIZER, with_ids=True)
 

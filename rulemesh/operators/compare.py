@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemesh.functions.markup import outline_distance_udf, outline_udf
-from rulemesh.functions.urls import status_class
-from rulemesh.operators.joins import fits_broadcast
+from rulemesh.functions.urls import idn_url, status_class
+from rulemesh.operators.joins import fits_broadcast, keyed_join
 from rulemesh.session import cut_lineage
 
 SHINGLE_WORDS = 4
@@ -46,7 +46,10 @@ def verdict(pairs: DataFrame) -> DataFrame:
     set; a regex error is only reported.
     """
     broken_rule = F.col("regex_error").isNotNull()
-    fetch_failed = F.col("new_error").isNotNull()
+    # Neither a response nor an error: nothing is known, which is no success.
+    unknown = F.col("new_error").isNull() & F.col("new_code").isNull()
+    new_error = F.when(unknown, F.lit("no response")).otherwise(F.col("new_error"))
+    fetch_failed = new_error.isNotNull()
     lost = lost_response()
     result = (
         F.when(broken_rule, F.lit("regex_error"))
@@ -55,14 +58,14 @@ def verdict(pairs: DataFrame) -> DataFrame:
     )
     details = (
         F.when(broken_rule, F.col("regex_error"))
-        .when(fetch_failed, F.concat(F.lit("fetch-error "), "new_error"))
+        .when(fetch_failed, F.concat(F.lit("fetch-error "), new_error))
         .when(lost, F.lit("non-2xx http code"))
         .otherwise(F.lit(""))
     )
     returned = ~broken_rule & (fetch_failed | lost)
     message = F.when(
         returned & fetch_failed,
-        F.format_string("Fetch error: %s => %s: %s", "url", "new_url", "new_error"),
+        F.format_string("Fetch error: %s => %s: %s", "url", "new_url", new_error),
     ).when(
         returned,
         F.format_string(
@@ -105,25 +108,40 @@ def shingles(body: Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def _needed(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """The pages that occur in a pair, where their URLs fit a broadcast; the
-    bodies are not shuffled for it. Otherwise all pages."""
+    """The pages that occur in a pair, by their URL in punycode form. Where the pairs' URLs fit
+    a broadcast the bodies are not shuffled for it."""
     urls = pairs.select(F.col("left_url").alias("url")).unionByName(
         pairs.select(F.col("right_url").alias("url"))
     )
-    if not fits_broadcast(urls):
-        return pages
-    return pages.join(F.broadcast(urls.distinct()), "url", "left_semi")
+    named = pages.withColumn("url", idn_url(F.col("url")))
+    return keyed_join(named, urls.distinct(), "url", "left_semi", fits=fits_broadcast(urls))
 
 
 def _paired(pairs: DataFrame, pages: DataFrame, kept: list[str]) -> DataFrame:
-    """``pairs`` with the columns ``kept`` of both pages, as ``l_`` and ``r_``."""
+    """The distinct pairs of URLs with the columns ``kept`` of both pages, as ``l_`` and ``r_``;
+    NULL where a page is missing. ``pages`` has one row a URL; a URL in many pairs is spread."""
+    distinct = pairs.select("left_url", "right_url").distinct()
 
     def side(key: str, mark: str) -> DataFrame:
         return pages.select(
             F.col("url").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in kept]
         )
 
-    return pairs.join(side("left_url", "l"), "left_url").join(side("right_url", "r"), "right_url")
+    with_left = keyed_join(distinct, side("left_url", "l"), "left_url", "left")
+    return keyed_join(with_left, side("right_url", "r"), "right_url", "left")
+
+
+def _beside(pairs: DataFrame, measured: DataFrame) -> DataFrame:
+    """``pairs`` with what was measured for their pages. Null URLs match none."""
+    url = lambda side: F.coalesce(F.col(side), F.lit(""))
+    key = F.concat_ws(" ", F.length(url("left_url")), url("left_url"), url("right_url"))
+    found = measured.select(
+        key.alias("_pair"), "left_length", "right_length", F.col("distance").alias("_distance")
+    )
+    joined = keyed_join(pairs.withColumn("_pair", key), found, "_pair", "left")
+    return joined.select(
+        *pairs.columns, "left_length", "right_length", F.coalesce("_distance", F.lit(1.0)).alias("distance")
+    )
 
 
 def markup_distance(pairs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -131,10 +149,12 @@ def markup_distance(pairs: DataFrame, pages: DataFrame) -> DataFrame:
 
     Each page is parsed once, where it is read, and its outline stored; bodies
     take no part in the joins. Zero for equal pages or outlines, one if either
-    page has no element. Only pairs of unequal outlines carry them to Python;
+    page is missing or has no element. Of several pages of a URL the first by digest counts. Only pairs of unequal outlines carry them to Python;
     the others send NULLs.
     """
-    outlines = cut_lineage(page_outlines(_needed(pairs, pages)))
+    parsed = page_outlines(_needed(pairs, pages))
+    page = F.struct("body_sha256", "body_length", "outline")
+    outlines = cut_lineage(parsed.groupBy("url").agg(F.min(page).alias("p")).select("url", "p.*"))
     both = _paired(pairs, outlines, ["body_sha256", "body_length", "outline"])
     easy = (
         F.when(F.col("l_body_sha256") == F.col("r_body_sha256"), F.lit(0.0))
@@ -143,17 +163,19 @@ def markup_distance(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     )
     judged = both.withColumn("_easy", easy)
     hard = F.col("_easy").isNull()
-    return judged.withColumn(
+    measured = judged.withColumn(
         "_hard",
         outline_distance_udf(
             F.when(hard, F.col("l_outline")), F.when(hard, F.col("r_outline"))
         ),
     ).select(
-        *pairs.columns,
+        "left_url",
+        "right_url",
         F.col("l_body_length").alias("left_length"),
         F.col("r_body_length").alias("right_length"),
         F.coalesce("_easy", "_hard").alias("distance"),
     )
+    return _beside(pairs, measured)
 
 
 def novelty_distance(
@@ -165,10 +187,12 @@ def novelty_distance(
     range and symmetry, other numbers. The shingles of a page outweigh its body,
     so they are made after the bodies have met, and not for equal bodies.
     """
-    both = _paired(pairs, _needed(pairs, pages).select("url", "body"), ["body"])
+    one_each = cut_lineage(_needed(pairs, pages).groupBy("url").agg(F.min("body").alias("body")))
+    both = _paired(pairs, one_each, ["body"])
     differ = F.col("l_body") != F.col("r_body")
     shared = both.select(
-        *pairs.columns,
+        "left_url",
+        "right_url",
         F.length("l_body").alias("left_length"),
         F.length("r_body").alias("right_length"),
         F.when(
@@ -182,8 +206,9 @@ def novelty_distance(
     )
     larger = F.greatest(F.size("_sets.l"), F.size("_sets.r"))
     common = F.size(F.array_intersect("_sets.l", "_sets.r"))
-    return shared.select(
-        *pairs.columns,
+    measured = shared.select(
+        "left_url",
+        "right_url",
         "left_length",
         "right_length",
         F.when(F.col("_unknown"), F.lit(1.0))
@@ -191,6 +216,7 @@ def novelty_distance(
         .otherwise((larger - common) / larger)
         .alias("distance"),
     )
+    return _beside(pairs, measured)
 
 
 METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {

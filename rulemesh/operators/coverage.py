@@ -172,7 +172,7 @@ def coverage_gate(problems: DataFrame) -> DataFrame:
 def corpus_lint(corpus: Corpus, index: RuleIndex) -> DataFrame:
     """Faults of the corpus as rows ``kind, subject, ruleset_id, n``.
 
-    unrewritten_target  plain target its own rule set leaves alone
+    unrewritten_target  plain target its own rule set leaves alone or fails on
     duplicate_name      rule set whose name another file has too
     shared_host         target text claimed by several rule sets
     incomplete_host     target without a dot
@@ -183,7 +183,7 @@ def corpus_lint(corpus: Corpus, index: RuleIndex) -> DataFrame:
     one = F.lit(1).cast("bigint").alias("n")
     unrewritten = (
         apply_ruleset(plain, index)
-        .filter(F.col("new_url") == F.col("url"))
+        .filter((F.col("new_url") == F.col("url")) | F.col("regex_error").isNotNull())
         .select(
             F.lit("unrewritten_target").alias("kind"),
             F.col("url").alias("subject"),

@@ -263,8 +263,8 @@ def with_first(
     """``pairs`` plus the column ``name``: the least ``hit`` over the lists of
     the row's rule set, NULL without one. ``hit`` reads the column ``items``.
 
-    Where some rule set has several lists the rows are grouped again, so the
-    columns of ``pairs`` must identify them.
+    Where some rule set has several lists the rows are grouped again; equal rows are
+    counted there and come out as often as they came in.
     """
     joined = keyed_join(
         pairs,
@@ -276,4 +276,11 @@ def with_first(
     ).select(*pairs.columns, hit.alias(name))
     if index.one_list:
         return joined
-    return joined.groupBy(*pairs.columns).agg(F.min(name).alias(name))
+    copies = pairs.select("*", F.lit(None).cast(joined.schema[name].dataType).alias(name), F.lit(1).alias("_copies"))
+    return (
+        copies.unionByName(joined.withColumn("_copies", F.lit(0)))
+        .groupBy(*pairs.columns)
+        .agg(F.min(name).alias(name), F.sum("_copies").cast("int").alias("_copies"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .drop("_copies", "_copy")
+    )

@@ -35,10 +35,12 @@ def resolve_platform(
 
 
 def capture_heads(captures: DataFrame) -> DataFrame:
-    """``url, http_code, location, error`` of each capture, without its body.
+    """``url, http_code, location, error`` of each captured URL, without its body.
 
     The input of :func:`resolve_redirects`; a caller that resolves more than
-    once does well to store it.
+    once does well to store it. URLs are compared in punycode form. Of several captures of a
+    URL the first by (failed, status, Location, error text) counts, so one without an error
+    if there is one.
     """
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     location = last_location(F.col("headers"))
@@ -48,12 +50,15 @@ def capture_heads(captures: DataFrame) -> DataFrame:
         .when(F.coalesce("http_code", F.lit(0)) == 0, F.lit("fetch failed"))
         .when(followed & location.isNull(), F.lit("missing Location"))
     )
-    return captures.select(
-        "url",
+    head = F.struct(
+        error.isNotNull().alias("failed"),
         F.col("http_code").cast("int").alias("http_code"),
         F.when(followed, location).alias("location"),
         error.alias("error"),
     )
+    heads = captures.select(idn_url(F.col("url")).alias("url"), head.alias("_head"))
+    first = heads.groupBy("url").agg(F.min("_head").alias("_head"))
+    return first.select("url", "_head.http_code", "_head.location", "_head.error")
 
 
 def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
@@ -81,26 +86,52 @@ def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
 def _redirect_edges(
     heads: DataFrame, index: RuleIndex | None, rulesets: DataFrame | None
 ) -> DataFrame:
-    """``current, next_url, next_platform`` of each redirect.
+    """``current, next_url, next_platform, fault`` of each redirect.
 
-    Every Location is resolved and rewritten once here, not once per hop.
+    Every Location is resolved and rewritten once here, not once per hop. Where the
+    rules fail on it, ``fault`` says so and ``next_url`` is the Location itself.
     """
     resolved = absolutize(F.col("url"), F.col("location"))
     moved = heads.filter(F.col("error").isNull() & F.col("location").isNotNull())
     no_platform = F.lit(None).cast("string").alias("next_platform")
+    no_fault = F.lit(None).cast("string").alias("fault")
     if index is None:
         return moved.select(
-            F.col("url").alias("current"), idn_url(resolved).alias("next_url"), no_platform
+            F.col("url").alias("current"), idn_url(resolved).alias("next_url"), no_platform, no_fault
         )
     located = cut_lineage(moved.select(F.col("url").alias("current"), resolved.alias("url")))
-    rewritten = transform_urls(located, index).filter(F.col("error").isNull())
-    target = idn_url(F.col("new_url")).alias("next_url")
+    rewritten = transform_urls(located, index)
+    target = idn_url(F.coalesce("new_url", "url")).alias("next_url")
+    fault = F.col("error").alias("fault")
     if rulesets is None:
-        return rewritten.select("current", target, no_platform)
+        return rewritten.select("current", target, no_platform, fault)
     named = rulesets.select("ruleset_id", F.col("platform").alias("next_platform"))
     return keyed_join(
         rewritten, named, "ruleset_id", "left", fits=index.fits, hot_rows=index.hot_rows
-    ).select("current", target, "next_platform")
+    ).select("current", target, "next_platform", fault)
+
+
+def _begun(starts: DataFrame, static_platform: str | None) -> DataFrame:
+    platform = F.col("platform") if "platform" in starts.columns else F.lit(DEFAULT_PLATFORM)
+    if static_platform is not None:
+        platform = F.lit(static_platform)
+    return starts.select(
+        "start_url", platform.alias("start_platform"), idn_url(F.col("start_url")).alias("current")
+    ).distinct()
+
+
+def _unread(starts: DataFrame, static_platform: str | None) -> DataFrame:
+    """The starts where no capture may be read."""
+    return _begun(starts, static_platform).select(
+        "start_url",
+        "start_platform",
+        F.col("current").alias("final_url"),
+        F.lit(None).cast("int").alias("http_code"),
+        F.lit(0).alias("hops"),
+        F.lit("Too many redirects").alias("error"),
+        F.lit(False).alias("is_cycle"),
+        F.col("start_platform").alias("platform"),
+    )
 
 
 def resolve_redirects(
@@ -126,18 +157,12 @@ def resolve_redirects(
     Only redirects are followed: an edge table from each redirect to the kind of
     capture behind it is made once, and each round joins the rows still under
     way, which get fewer, with that table. A URL seen before proves a cycle,
-    which no depth resolves, so it ends there with the same error.
+    which no depth resolves, so it ends there with the same error. Every distinct start
+    gives one row; a redirect that cannot be followed ends it as an error.
     """
-    start_platform = (
-        F.col("platform") if "platform" in starts.columns else F.lit(DEFAULT_PLATFORM)
-    )
-    if static_platform is not None:
-        start_platform = F.lit(static_platform)
-    begun = starts.select(
-        "start_url",
-        start_platform.alias("start_platform"),
-        idn_url(F.col("start_url")).alias("current"),
-    ).distinct()
+    if max_depth < 1:
+        return _unread(starts, static_platform)
+    begun = _begun(starts, static_platform)
 
     edges = cut_lineage(_redirect_edges(heads, index, rulesets))
     nodes = _nodes(heads, index is not None)
@@ -148,15 +173,19 @@ def resolve_redirects(
         F.col("http_code").alias("next_code"),
         F.col("error").alias("next_error"),
     )
+    faulty = F.col("fault").isNotNull()
     missing = F.col("next_kind").isNull()
     steps = cut_lineage(
         keyed_join(edges, behind, "next_url", "left", hot_rows=hot_rows).select(
             "current",
             "next_url",
             "next_platform",
-            F.coalesce("next_kind", F.lit("error")).alias("next_kind"),
-            "next_code",
-            F.when(missing, F.lit("no capture")).otherwise(F.col("next_error")).alias("next_error"),
+            F.when(faulty | missing, F.lit("error")).otherwise(F.col("next_kind")).alias("next_kind"),
+            F.when(~faulty, F.col("next_code")).alias("next_code"),
+            F.when(faulty, F.col("fault"))
+            .when(missing, F.lit("no capture"))
+            .otherwise(F.col("next_error"))
+            .alias("next_error"),
         )
     )
 
@@ -187,7 +216,8 @@ def resolve_redirects(
         if rows == 0:
             state = under_way
             break
-        again = F.array_contains("seen", F.col("next_url"))
+        again = F.coalesce(F.array_contains("seen", F.col("next_url")), F.lit(False))
+        lost = F.col("next_kind").isNull()
         platform = (
             F.col("start_platform")
             if static_platform is not None
@@ -198,20 +228,22 @@ def resolve_redirects(
                 under_way.drop("kind", "http_code", "error", "is_cycle", "platform"),
                 steps,
                 "current",
+                "left",
                 tiers=tiers,
             ).select(
                 "start_url",
                 "start_platform",
-                F.col("next_url").alias("current"),
-                F.when(again, F.lit("error")).otherwise(F.col("next_kind")).alias("kind"),
+                F.coalesce("next_url", "current").alias("current"),
+                F.when(again | lost, F.lit("error")).otherwise(F.col("next_kind")).alias("kind"),
                 F.when(~again, F.col("next_code")).alias("http_code"),
                 F.when(again, F.lit("Too many redirects"))
+                .when(lost, F.lit("Location cannot be resolved"))
                 .otherwise(F.col("next_error"))
                 .alias("error"),
                 (F.col("hops") + 1).alias("hops"),
                 again.alias("is_cycle"),
                 platform.alias("platform"),
-                F.array_append("seen", F.col("next_url")).alias("seen"),
+                F.array_append("seen", F.coalesce("next_url", "current")).alias("seen"),
             )
         )
     exhausted = F.col("kind") == "redirect"

@@ -430,7 +430,7 @@ def disable_failing(spark, folder):
     failures = compare.verdict(pairs).filter("returned").select(
         col("fname").alias("ruleset_id"), "message"
     )
-    return report.disabled_lines(derived.ruleset_files(spark, folder), failures)
+    return report.disable_failing(derived.ruleset_files(spark, folder), failures)
 
 
 def corpus_lint(spark, folder):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import posixpath
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULESET_SCHEMA = (
@@ -16,20 +18,45 @@ RULESET_SCHEMA = (
 XML_OPTIONS = {"rowTag": "ruleset", "ignoreSurroundingSpaces": "false"}
 
 
+def _text(content: Column) -> Column:
+    """Text of an XML file by its byte-order mark or declared encoding, UTF-8 by default; NULL if
+    the bytes are none, or the encoding is not known here."""
+    start = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    declared = F.upper(F.regexp_extract(start, r"^<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9._-]+)", 1))
+    mark = F.hex(F.substring(content, 1, 2))
+    return (
+        F.when(mark.isin("FEFF", "FFFE"), F.decode(content, "UTF-16"))
+        .when(declared.isin("", "UTF-8", "UTF8", "US-ASCII", "ASCII"), F.try_validate_utf8(content.cast("string")))
+        .when(declared.isin("ISO-8859-1", "ISO8859-1", "LATIN1", "LATIN-1"), F.decode(content, "ISO-8859-1"))
+    )
+
+
 def load_rulesets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per XML file of a directory, or of an explicit list of files.
+    """One row per XML file of a directory, or per file of an explicit list, whatever its name.
 
-    Columns ``ruleset_id`` (the file name), ``file_sha256`` (of the raw bytes)
-    and ``content`` (the text).
+    Columns ``ruleset_id`` (the file's path below the directory, or below the folder that
+    all listed files share), ``file_sha256`` (of the raw bytes) and ``content`` (the text, NULL where
+    it cannot be decoded; such files are malformed).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(paths)
-    return files.select(
-        F.col("_metadata.file_name").alias("ruleset_id"),
+    reader = spark.read.format("binaryFile")
+    if isinstance(paths, str):
+        reader, root = reader.option("pathGlobFilter", "*.xml"), paths
+    else:
+        root = posixpath.commonpath([posixpath.dirname(p) for p in paths])
+    root = f"{root.split('://', 1)[-1].removeprefix('file:').strip('/')}/"
+    below = F.expr("substring(path, locate(:root, path) + length(:root))".replace(":root", _quoted(root)))
+    base = F.substring_index("path", "/", -1)
+    return reader.load(paths).select(
+        F.when(F.instr("path", root) > 0, below).otherwise(base).alias("ruleset_id"),
         F.sha2("content", 256).alias("file_sha256"),
-        F.decode("content", "UTF-8").alias("content"),
+        _text(F.col("content")).alias("content"),
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def parse_rulesets(files: DataFrame) -> DataFrame:
     """Adds the struct column ``ruleset``, child elements in file order."""
     return files.withColumn("ruleset", F.from_xml("content", RULESET_SCHEMA, XML_OPTIONS))

@@ -27,9 +27,11 @@ def write_json_document(results: DataFrame, coverage: DataFrame, path: str) -> N
 def write_disabled(
     files: DataFrame, problems: DataFrame, path: str, tool: str = "rule checker"
 ) -> None:
-    """``documents`` (parquet: ruleset_id, content) and, for rule sets with very
-    many problems, ``lines`` (sorted parquet: ruleset_id, part, text)."""
-    documents, lines = disable_failing(files, problems, tool)
-    documents.write.mode("errorifexists").parquet(f"{path}/documents")
-    ordered = lines.orderBy("ruleset_id", "part", "text")
-    ordered.write.mode("errorifexists").parquet(f"{path}/lines")
+    """One folder ``ruleset_id=...`` with one text file for each disabled rule set, whatever its size.
+
+    The lines of a rule set go to one task, which sorts them (on disk if need be) and
+    writes them one by one; nothing is gathered.
+    """
+    lines = disable_failing(files, problems, tool)
+    ordered = lines.repartition("ruleset_id").sortWithinPartitions("ruleset_id", "part", "text")
+    ordered.select("ruleset_id", "text").write.mode("errorifexists").partitionBy("ruleset_id").text(path)

@@ -38,7 +38,7 @@ from rulemesh.llm.common import batch_slices, fresh, powers, prefix_hash
 WINDOW = 16
 CHUNK_BITS = 9
 #: Bounds of a worker's stores.
-MAX_WORDS = 400_000
+MAX_WORDS = 1_200_000
 MAX_CHUNK_BYTES = 48 << 20
 MAX_SEEN = 500_000
 
@@ -71,12 +71,14 @@ def _drops_space(spec: dict) -> bool:
     )
 
 
-#: Lower-case letters that no normalization changes, then marks that end a word.
-_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?:;|]*)")
+#: Lower-case letters that no normalization changes, and marks that may end a word.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_MARKS = b".,!?:;|"
 
 
 class _Words(dict):
-    """Ids of words as little-endian 32-bit numbers; a word not known is encoded.
+    """Ids of words as little-endian 32-bit numbers; a word not known is encoded. Words not met
+    for a while are given up.
 
     A word of plain letters goes to the tokenizer's model at once, since normalization and the
     splitting into words would leave it as it is; probes compare that with the whole
@@ -89,6 +91,8 @@ class _Words(dict):
 
         self.tokenizer = tokenizer
         self.model = tokenizer.model
+        self.older: dict[bytes, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
@@ -100,18 +104,20 @@ class _Words(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word.translate(self.as_bytes))], "<u4").tobytes()
+        mapped = word if word.isascii() else word.translate(self.as_bytes)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        parts = _PLAIN.fullmatch(text) if self.plain else None
-        if parts is None:
-            ids = self._whole(text)
-        else:
-            ids = self._plain(parts[1])
-            if parts[2]:
-                ids += self[parts[2].encode()]
-        if len(self) >= MAX_WORDS:
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_MARKS)
+            if self.plain and core != word and core and 97 <= core[-1] <= 122:
+                ids = self[core] + self[word[len(core) :]]  # marks after a letter stand by themselves
+            else:
+                text = word.decode("utf-8", "replace")
+                ids = self._plain(text) if self.plain and _PLAIN.fullmatch(text) else self._whole(text)
+        if len(self) >= MAX_WORDS // 2:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids

@@ -102,4 +102,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_token_store": op10_token_store,
 }
-ORACLES: dict[str, str] = {}
+

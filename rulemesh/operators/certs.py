@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulemesh.operators.joins import HOT_ROWS, fits_broadcast, keyed_join
+from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, fits_broadcast, keyed_join
 from rulemesh.session import cut_lineage
 
 
+# A digest as text, with what a row costs.
+DIGEST_BYTES = 96
+
+
 def unique_certs(source: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """``der_sha256, path``: first regular file, by name, of each digest.
 
@@ -29,46 +33,37 @@ def trusted_closure(
     """``der_sha256, round``: roots (round 0) and candidates reached from them.
 
     ``issues(issuer_sha256, subject_sha256)`` says which certificate validates
-    under which. In every round the subjects issued by the last round's
-    certificates join the set, until a round adds none. Only the new ones are
-    joined with the edges; a broadcast needs their size to be measured first,
-    and an issuer of very many subjects is spread over tasks.
+    under which. In every round the subjects issued by the last round's certificates
+    join the set, until a round adds none. The edges shrink: those of issuers that
+    were followed and those to subjects that are trusted already are taken out, so a round
+    costs what is left, and the trusted set is never read again. An issuer of very many
+    subjects is spread over tasks.
     """
     subjects = candidates.select(F.col("der_sha256").alias("subject_sha256"))
-    edges = (
-        keyed_join(
-            issues,
-            subjects,
-            "subject_sha256",
-            "left_semi",
-            fits=fits_broadcast(subjects),
-            hot_rows=hot_rows,
-        )
-        .select("issuer_sha256", "subject_sha256")
-    )
-    # Read again in every round.
-    edges = cut_lineage(edges)
-    trusted = cut_lineage(
-        roots.select("der_sha256").distinct().select("der_sha256", F.lit(0).alias("round"))
+    first = cut_lineage(roots.select("der_sha256").distinct())
+    edges = keyed_join(
+        issues.select("issuer_sha256", "subject_sha256"),
+        subjects,
+        "subject_sha256",
+        "left_semi",
+        fits=fits_broadcast(subjects),
+        hot_rows=hot_rows,
     )
-    frontier = trusted
-    step = 0
+    known = first.select(F.col("der_sha256").alias("subject_sha256"))
+    few = first.count() * DIGEST_BYTES <= BROADCAST_BYTES
+    edges = cut_lineage(keyed_join(edges, known, "subject_sha256", "left_anti", fits=few, hot_rows=hot_rows))
+    trusted = first.withColumn("round", F.lit(0))
+    frontier, step = first, 0
     while True:
         step += 1
         issuers = frontier.select(F.col("der_sha256").alias("issuer_sha256"))
-        reached = (
-            keyed_join(
-                edges,
-                issuers,
-                "issuer_sha256",
-                fits=fits_broadcast(issuers),
-                hot_rows=hot_rows,
-            )
-            .select(F.col("subject_sha256").alias("der_sha256"))
-            .distinct()
-            .join(trusted.select("der_sha256"), "der_sha256", "left_anti")
-        )
-        frontier = cut_lineage(reached.select("der_sha256", F.lit(step).alias("round")))
-        if frontier.isEmpty():
+        reached = keyed_join(edges, issuers, "issuer_sha256", "left_semi", fits=few, hot_rows=hot_rows)
+        frontier = cut_lineage(reached.select(F.col("subject_sha256").alias("der_sha256")).distinct())
+        added = frontier.count()  # from the files' footers
+        if added == 0:
             return trusted
-        trusted = trusted.unionByName(frontier)
+        trusted = trusted.unionByName(frontier.withColumn("round", F.lit(step)))
+        rest = keyed_join(edges, issuers, "issuer_sha256", "left_anti", fits=few, hot_rows=hot_rows)
+        few = added * DIGEST_BYTES <= BROADCAST_BYTES
+        known = frontier.select(F.col("der_sha256").alias("subject_sha256"))
+        edges = cut_lineage(keyed_join(rest, known, "subject_sha256", "left_anti", fits=few, hot_rows=hot_rows))

@@ -107,7 +107,7 @@ def _redirect_edges(
         return rewritten.select("current", target, no_platform, fault)
     named = rulesets.select("ruleset_id", F.col("platform").alias("next_platform"))
     return keyed_join(
-        rewritten, named, "ruleset_id", "left", fits=index.fits, hot_rows=index.hot_rows
+        rewritten, named, "ruleset_id", "left", fits=fits_broadcast(named), hot_rows=index.hot_rows
     ).select("current", target, "next_platform", fault)
 
 
@@ -212,10 +212,12 @@ def resolve_redirects(
     for _ in range(max_depth - 1):
         finished.append(state.filter(F.col("kind") != "redirect"))
         under_way = state.filter(F.col("kind") == "redirect")
-        rows, tiers = key_profile(under_way, "current", hot_rows)
+        rows = under_way.count()
         if rows == 0:
             state = under_way
             break
+        # No key can be hot where all rows together are not.
+        tiers = key_profile(under_way, "current", hot_rows)[1] if rows > hot_rows else {}
         again = F.coalesce(F.array_contains("seen", F.col("next_url")), F.lit(False))
         lost = F.col("next_kind").isNull()
         platform = (

@@ -18,10 +18,15 @@ from rulemesh.operators.corpus import (
 )
 from rulemesh.operators.coverage import coverage_gate, coverage_problems, what_applies
 from rulemesh.operators.index import RuleIndex, build_rule_index
-from rulemesh.operators.joins import keyed_join
-from rulemesh.operators.redirects import capture_heads, pair_captures, resolve_redirects
+from rulemesh.operators.joins import fits_broadcast, keyed_join
+from rulemesh.operators.redirects import (
+    capture_heads,
+    pair_captures,
+    resolve_platform,
+    resolve_redirects,
+)
 from rulemesh.operators.rewrite import apply_ruleset, not_excluded, transform_urls
-from rulemesh.session import cut_lineage
+from rulemesh.session import cut_lineage, ship_package
 from rulemesh.sources.rulesets import (
     load_rulesets,
     malformed_rulesets,
@@ -71,11 +76,14 @@ def tested_pairs(
     max_depth: int = 10,
     url_list: DataFrame | None = None,
     static_ca_set: str | None = None,
+    ca_sets: DataFrame | None = None,
 ) -> DataFrame:
     """Each tested URL beside its plain and its rewritten response.
 
     Without ``url_list`` the tests of the corpus that are not excluded; with
-    one, the listed URLs, rewritten by whatever rule sets cover them.
+    one, the listed URLs, rewritten by whatever rule sets cover them. ``ca_sets`` (platform,
+    ca_set) names the certificate set of each platform, that of ``default`` for unknown ones;
+    the sets then take the platforms' place.
     """
     platforms = corpus.rulesets.select("ruleset_id", "platform")
     if url_list is None:
@@ -92,10 +100,14 @@ def tested_pairs(
             F.col("error").alias("regex_error"),
         )
     tests = keyed_join(
-        rewritten, platforms, "ruleset_id", "left", fits=index.fits, hot_rows=index.hot_rows
+        rewritten, platforms, "ruleset_id", "left", fits=fits_broadcast(platforms), hot_rows=index.hot_rows
     ).withColumn("platform", F.coalesce("platform", F.lit("default")))
+    rulesets = corpus.rulesets
     if static_ca_set is not None:
         tests = tests.withColumn("platform", F.lit(static_ca_set))
+    elif ca_sets is not None:
+        resolved = lambda df: resolve_platform(df, ca_sets).withColumn("platform", F.col("ca_set")).drop("ca_set")
+        tests, rulesets = resolved(tests), resolved(rulesets)
     # Both are read by two resolutions, the tests once more by the pairing.
     tests = cut_lineage(tests)
     heads = cut_lineage(capture_heads(captures))
@@ -109,7 +121,7 @@ def tested_pairs(
         tests.filter("new_url IS NOT NULL").select(F.col("new_url").alias("start_url"), "platform"),
         heads,
         index,
-        corpus.rulesets,
+        rulesets,
         max_depth=max_depth,
         static_platform=static_ca_set,
         hot_rows=index.hot_rows,
@@ -133,13 +145,15 @@ def check_corpus(
     max_depth: int = 10,
     url_list: DataFrame | None = None,
     static_ca_set: str | None = None,
+    ca_sets: DataFrame | None = None,
 ) -> CheckRun:
     """Coverage, verdicts and page distances of a corpus over captures."""
+    ship_package(corpus.rulesets.sparkSession)  # page outlines run in Python
     index = build_rule_index(corpus)
     applied = cut_lineage(what_applies(derive_tests(corpus), index))
     coverage = coverage_problems(corpus, applied)
     pairs = cut_lineage(
-        tested_pairs(corpus, captures, index, max_depth, url_list, static_ca_set)
+        tested_pairs(corpus, captures, index, max_depth, url_list, static_ca_set, ca_sets)
     )
     results = verdict(pairs)
     far = big_distance(page_distance(metric, comparable(pairs), captures), max_distance)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from rulemesh.operators import compare, coverage, redirects, report, rewrite
 from rulemesh.operators import corpus as corpus_ops
 from rulemesh.operators.index import build_rule_index
 from rulemesh.plans import check, derived
-from rulemesh.session import cut_lineage, ship_package
+from rulemesh.session import cut_lineage, shared_folder, ship_package
+from rulemesh.sources import captures as captures_source
+from rulemesh.sources import sinks
 from rulemesh.sources.certs import with_digest
 from rulemesh.sources.lists import parse_skiplist, parse_url_list
 from rulemesh.sources.rulesets import malformed_rulesets, parse_rulesets, wellformed_rulesets
@@ -129,10 +133,9 @@ def url_host_key(spark, folder):
 
 
 def idn_ascii_query(spark, folder):
-    word = F.regexp_extract("text", r"(\S*[^\x00-\x7F]\S*)", 1)
-    words = _table(spark, folder, "documents").select(
-        F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "").alias("word")
-    )
+    found = F.regexp_extract_all("text", F.lit(r"(\S*[^\x00-\x7F]\S*)"), F.lit(1))
+    words = _table(spark, folder, "documents").select(F.explode(found).alias("word")).distinct()
+    words = words.select(F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}]", "").alias("word"))
     hosts = words.filter("word <> ''").select(
         F.concat("word", F.lit(".example.org")).alias("host")
     )
@@ -225,9 +228,7 @@ def absolutize_query(spark, folder):
         .when(form == 3, F.concat(F.lit("//other.example.net/"), "word"))
         .otherwise(F.concat(F.lit("http://abs.example.net/../"), "word"))
     )
-    return hrefs.select("page_id", "nr", ref.alias("ref")).join(
-        derived.pages(spark, folder).select("page_id", "url"), "page_id"
-    ).select("page_id", "nr", "ref", absolutize(col("url"), col("ref")).alias("absolute_url"))
+    return hrefs.select("page_id", "nr", ref.alias("ref"), absolutize(col("url"), ref).alias("absolute_url"))
 
 
 def pem_to_der_sha256(spark, folder):
@@ -344,9 +345,11 @@ def _applied(spark, folder):
 
 
 def unmatched_tests(spark, folder):
-    # Tests taken to the rule set of the www names, which leaves most of them.
+    # Every page URL as a test of its own site's rule set, which knows plain and www names only.
     tables = derived.corpus(spark, folder)
-    tests = corpus_ops.derive_tests(tables).withColumn("ruleset_id", F.lit("aa-www-com.xml"))
+    tests = _site_pairs(spark, folder).select(
+        "ruleset_id", col("page_id").alias("pos"), "url", F.lit("explicit").alias("origin")
+    )
     applied = coverage.what_applies(tests, build_rule_index(tables))
     return coverage.unmatched_tests(applied).select("ruleset_id", "url", "message")
 
@@ -383,6 +386,24 @@ def _run(spark, folder):
     return tables, index, pairs
 
 
+def load_captures(spark, folder):
+    """The captures stored, read back and reduced to one head a URL."""
+    path = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    derived.captures(spark, folder).write.parquet(path)
+    heads = redirects.capture_heads(captures_source.load_captures(spark, path))
+    return heads.select("url", "http_code", "location", "error")
+
+
+def append_results(spark, folder):
+    """The verdicts of two runs, appended to one table and read back."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    _, _, pairs = _run(spark, folder)
+    results = compare.verdict(pairs).select("result", "details", "fname", "url", "https_url")
+    for _ in range(2):
+        sinks.append_results(results, path)
+    return spark.read.schema(results.schema).parquet(path)
+
+
 def verdict(spark, folder):
     _, _, pairs = _run(spark, folder)
     return compare.verdict(pairs).select("result", "details", "fname", "url", "https_url")
@@ -474,6 +495,8 @@ QUERIES = {
     "coverage_problems": coverage_problems,
     "coverage_gate": coverage_gate,
     "verdict": verdict,
+    "load_captures": load_captures,
+    "append_results": append_results,
     "error_category": error_category,
     "results_by_class": results_by_class,
     "run_summary": run_summary,

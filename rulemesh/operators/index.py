@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemesh.operators.corpus import Corpus
 from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, keyed_join
+from rulemesh.session import cut_lineage
 
 # Elements of one rule set are kept in ordered lists of at most this many.
 CHUNK = 256
-# Wildcard shapes written into the plan; a corpus with more joins them instead.
+# Wildcard shapes written into the plan; with more, hosts walk their labels instead.
 MAX_SHAPES = 256
 # Look-ups per URL, one for each wildcard shape, up to which rewriting needs no
 # shuffle at all.
@@ -188,37 +190,43 @@ def host_target_keys(hosts: DataFrame, index: RuleIndex) -> DataFrame:
     a leftmost wildcard of a target with three or more labels stands for one or
     more. Written as keys, so an equality join finds the targets.
     """
-    labels = F.split("host", r"\.")
     if index.shapes is not None:
         keys = literal_keys(F.col("host"), index.shapes)
         keyed = hosts.withColumn(
             "target_host", F.explode(F.array(*keys) if keys else F.array().cast("array<string>"))
         )
         return keyed.filter(F.col("target_host").isNotNull())
-    # Too many shapes for the plan: each host meets the shapes of every depth
-    # up to its own by an equality join on the depth.
-    shapes = (
-        _target_shapes(index.targets)
-        .select("labels", "stars")
+    return _walked_keys(hosts, index)
+
+
+def _walked_keys(hosts: DataFrame, index: RuleIndex) -> DataFrame:
+    """The keys of any number of shapes, by a walk over the labels from the top level.
+
+    A step leads from a suffix of the targets to those one label longer that the host's
+    label, or a wildcard, makes. Only suffixes that exist are followed, one equality join a step.
+    """
+    size = F.size(F.split("host", r"\."))
+    suffixes = cut_lineage(
+        index.targets.select("host", F.explode(F.sequence(F.lit(1), size)).alias("_depth"))
+        .select("_depth", F.expr("substring_index(host, '.', -_depth)").alias("_node"))
         .distinct()
-        .withColumn("open", (F.col("labels") >= 3) & F.array_contains("stars", F.col("labels") - 1))
     )
-    by_depth = hosts.withColumn("_size", F.size(labels)).withColumn(
-        "labels", F.explode(F.sequence(F.lit(1), F.col("_size")))
-    )
-    met = keyed_join(by_depth, shapes, "labels", hot_rows=index.hot_rows).filter(
-        (F.col("_size") == F.col("labels")) | F.col("open")
-    )
-    key = F.array_join(
-        F.transform(
-            F.sequence(F.col("labels") - 1, F.lit(0)),
-            lambda i: F.when(F.array_contains("stars", i), F.lit("*")).otherwise(
-                F.element_at(labels, -1 - i)
-            ),
-        ),
-        ".",
-    )
-    return met.select(*hosts.columns, key.alias("target_host"))
+    deepest = suffixes.agg(F.max("_depth")).first()[0] or 0
+    front = hosts.withColumns({"_size": size, "_node": F.lit("")})
+    none = hosts.select("*", F.lit(None).cast("string").alias("target_host")).limit(0)
+    found = [none]
+    for depth in range(1, deepest + 1):
+        labels = F.array_distinct(F.array(F.element_at(F.split("host", r"\."), -depth), F.lit("*")))
+        longer = F.transform(
+            labels, lambda x: F.when(F.col("_node") == "", x).otherwise(F.concat(x, F.lit("."), "_node"))
+        )
+        front = front.filter(F.col("_size") >= depth).withColumn("_node", F.explode(longer))
+        known = suffixes.filter(F.col("_depth") == depth).select("_node")
+        front = cut_lineage(keyed_join(front, known, "_node", "left_semi", hot_rows=index.hot_rows))
+        open_ended = F.col("_node").startswith("*.") if depth >= 3 else F.lit(False)
+        ended = front.filter((F.col("_size") == depth) | open_ended)
+        found.append(ended.select(*hosts.columns, F.col("_node").alias("target_host")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_rule_hit(url: Column, items: Column) -> Column:

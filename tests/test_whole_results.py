@@ -1,5 +1,6 @@
 """Rows that size, faults or repeats in the input must not lose or multiply."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from rulemesh.operators.compare import markup_distance, novelty_distance, verdic
 from rulemesh.operators.coverage import corpus_lint
 from rulemesh.operators.index import build_rule_index
 from rulemesh.operators.redirects import capture_heads, pair_captures, resolve_redirects
-from rulemesh.operators.rewrite import apply_ruleset, not_excluded
+from rulemesh.operators.rewrite import apply_ruleset, match_targets, not_excluded
 from rulemesh.session import shared_folder
 from rulemesh.sources.rulesets import load_rulesets, malformed_rulesets, parse_rulesets
 
@@ -138,3 +139,24 @@ class _Elsewhere:
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="checkpoint.dir"):
         shared_folder(_Elsewhere())
+
+
+def covers(target, host):
+    own, labels = target.split(".")[::-1], host.split(".")[::-1]
+    same = all(t in ("*", h) for t, h in zip(own, labels))
+    longer = len(own) >= 3 and own[-1] == "*" and len(labels) >= len(own)
+    return same and (len(own) == len(labels) or longer)
+
+
+def test_hosts_walk_where_shapes_are_many(spark, make_corpus):
+    draw = random.Random(9)
+    name = lambda most, words: ".".join(draw.choices(words, k=draw.randint(1, most)))
+    targets = sorted({name(9, ["a", "b", "*"]) for _ in range(900)} - {"*"})
+    index = build_rule_index(make_corpus({f"r{i}": {"targets": [t], "rules": []} for i, t in enumerate(targets)}))
+    assert index.shapes is None  # more than the plan takes
+    hosts = sorted({name(9, "ab") for _ in range(150)} | {"c.a", "*.a.b"})
+    got = match_targets(spark.createDataFrame([(h,) for h in hosts], "host string"), index)
+    expected = {(h, f"r{i}") for i, t in enumerate(targets) for h in hosts if covers(t, h)}
+    assert {tuple(r) for r in got.select("host", "ruleset_id").collect()} == expected
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan

@@ -14,6 +14,12 @@ from rulemesh.session import cut_lineage
 
 SHINGLE_WORDS = 4
 
+# Message formats that are part of the output.
+FETCH_ERROR = "Fetch error: %s => %s: %s"
+LOST_RESPONSE = "Non-2xx HTTP code: %s (%d) => %s (%d)"
+FETCH_DETAILS = "fetch-error "
+LOST_DETAILS = "non-2xx http code"
+
 
 def lost_response() -> Column:
     """The plain page is there (2xx) and the rewritten one is not."""
@@ -58,18 +64,18 @@ def verdict(pairs: DataFrame) -> DataFrame:
     )
     details = (
         F.when(broken_rule, F.col("regex_error"))
-        .when(fetch_failed, F.concat(F.lit("fetch-error "), new_error))
-        .when(lost, F.lit("non-2xx http code"))
+        .when(fetch_failed, F.concat(F.lit(FETCH_DETAILS), new_error))
+        .when(lost, F.lit(LOST_DETAILS))
         .otherwise(F.lit(""))
     )
     returned = ~broken_rule & (fetch_failed | lost)
     message = F.when(
         returned & fetch_failed,
-        F.format_string("Fetch error: %s => %s: %s", "url", "new_url", new_error),
+        F.format_string(FETCH_ERROR, "url", "new_url", new_error),
     ).when(
         returned,
         F.format_string(
-            "Non-2xx HTTP code: %s (%d) => %s (%d)", "url", "plain_code", "new_url", "new_code"
+            LOST_RESPONSE, "url", "plain_code", "new_url", "new_code"
         ),
     )
     return pairs.select(
@@ -228,7 +234,7 @@ METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 def page_distance(metric: str, pairs: DataFrame, pages: DataFrame) -> DataFrame:
     """Distance by metric name, ``markup`` or ``bsdiff``."""
     if metric not in METRICS:
-        raise ValueError(f"Metric type '{metric}' is not known")
+        raise ValueError(f"no distance is called {metric!r}; there are {', '.join(METRICS)}")
     return METRICS[metric](pairs, pages)
 
 

@@ -15,6 +15,12 @@ from rulemesh.operators.index import RuleIndex, first_match, with_first
 from rulemesh.operators.joins import fits_broadcast, keyed_join
 from rulemesh.operators.rewrite import apply_ruleset
 
+# Message formats that are part of the output.
+NO_MATCH = "%s: No rule or exclusion applies to test URL %s"
+TOO_FEW = "%s: Not enough tests (%d vs %s) for %s"
+RULE_SHOWN = ("<Rule from '", "' to '", "'>")
+EXCLUSION_SHOWN = ("<Exclusion pattern '", "'>")
+
 
 def what_applies(tests: DataFrame, index: RuleIndex) -> DataFrame:
     """Adds ``kind, element_pos``: the first exclusion found in the URL, else
@@ -41,9 +47,7 @@ def what_applies(tests: DataFrame, index: RuleIndex) -> DataFrame:
 
 def unmatched_tests(applied: DataFrame) -> DataFrame:
     """Rows of :func:`what_applies` that nothing applies to, with a message."""
-    message = F.format_string(
-        "%s: No rule or exclusion applies to test URL %s", "ruleset_id", "url"
-    )
+    message = F.format_string(NO_MATCH, "ruleset_id", "url")
     return applied.filter(F.col("kind").isNull()).select(
         "ruleset_id", "origin", "pos", "url", message.alias("message")
     )
@@ -121,13 +125,13 @@ def coverage_problems(
     element = F.when(
         F.col("kind") == "rule",
         F.concat(
-            F.lit("<Rule from '"),
+            F.lit(RULE_SHOWN[0]),
             "pattern",
-            F.lit("' to '"),
+            F.lit(RULE_SHOWN[1]),
             F.regexp_replace("to_template", r"\$(\d)", r"\\g<$1>"),
-            F.lit("'>"),
+            F.lit(RULE_SHOWN[2]),
         ),
-    ).otherwise(F.concat(F.lit("<Exclusion pattern '"), "pattern", F.lit("'>")))
+    ).otherwise(F.concat(F.lit(EXCLUSION_SHOWN[0]), "pattern", F.lit(EXCLUSION_SHOWN[1])))
     short = element_coverage(corpus, applied, own_pattern).filter("actual < needed")
     few = short.select(
         "ruleset_id",
@@ -141,7 +145,7 @@ def coverage_problems(
     ).withColumn(
         "message",
         F.format_string(
-            "%s: Not enough tests (%d vs %s) for %s",
+            TOO_FEW,
             "ruleset_id",
             "actual",
             F.col("needed").cast("string"),

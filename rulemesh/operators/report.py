@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rulemesh.operators.joins import fits_broadcast, keyed_join
 
+# Texts that are part of the output.
 DISABLED_TEXT = "failed ruleset test"
+DISABLED_OPENING = "\n<!--\nDisabled by %s because:"
 
 
 def results_by_class(results: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def disable_failing(
     opening = failing.select(
         "ruleset_id",
         F.lit(0).alias("part"),
-        F.lit(f"\n<!--\nDisabled by {tool} because:").alias("text"),
+        F.lit(DISABLED_OPENING % tool).alias("text"),
     )
     ids = failing.select("ruleset_id")
     listed = keyed_join(problems, ids, "ruleset_id", "left_semi", fits=fits_broadcast(ids)).select(

@@ -134,6 +134,12 @@ def _unread(starts: DataFrame, static_platform: str | None) -> DataFrame:
     )
 
 
+def _stored(state: DataFrame) -> DataFrame:
+    """``state`` with ``open``, stored so that rows still under way lie apart: a finished row is
+    written once and read once."""
+    return cut_lineage(state.withColumn("open", F.col("kind") == "redirect"), "open")
+
+
 def resolve_redirects(
     starts: DataFrame,
     heads: DataFrame,
@@ -191,7 +197,7 @@ def resolve_redirects(
 
     # Distinct starts: no key is hot here.
     own = nodes.withColumnRenamed("url", "current")
-    state = cut_lineage(
+    state = _stored(
         begun.join(own, "current", "left").select(
             "start_url",
             "start_platform",
@@ -210,8 +216,8 @@ def resolve_redirects(
 
     finished = []
     for _ in range(max_depth - 1):
-        finished.append(state.filter(F.col("kind") != "redirect"))
-        under_way = state.filter(F.col("kind") == "redirect")
+        finished.append(state.filter(~F.col("open")).drop("open"))
+        under_way = state.filter("open").drop("open")
         rows = under_way.count()
         if rows == 0:
             state = under_way
@@ -225,7 +231,7 @@ def resolve_redirects(
             if static_platform is not None
             else F.coalesce("next_platform", "start_platform")
         )
-        state = cut_lineage(
+        state = _stored(
             keyed_join(
                 under_way.drop("kind", "http_code", "error", "is_cycle", "platform"),
                 steps,
@@ -250,7 +256,7 @@ def resolve_redirects(
         )
     exhausted = F.col("kind") == "redirect"
     finished.append(
-        state.withColumn(
+        state.drop("open").withColumn(
             "error",
             F.when(exhausted, F.lit("Too many redirects")).otherwise(F.col("error")),
         )

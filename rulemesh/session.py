@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,16 +46,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/rulemesh-{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, split_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read on from it.
 
+    With ``split_by`` rows of different values of that column lie in different files, so a
+    filter on it reads only its own.
+
     Unlike an RDD checkpoint the table is columnar, so later steps read only
     their columns, and its size is known to the planner. It outlives executors.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write if split_by is None else df.write.partitionBy(split_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def release(spark: SparkSession) -> None:

@@ -284,3 +284,16 @@ def test_pipeline(spark, folder):
         text = pii.redacted(left[doc] or "", pii.find_in(left[doc] or "", anchors))
         assert "@" not in text and row.ids == ids_of(text)
         assert row.ids_sha256 == hashlib.sha256(as_bytes(row.ids)).hexdigest()
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_group_of_near_copies_in_blocks_and_pairs(spark, monkeypatch, dense):
+    monkeypatch.setattr(minhash, "DENSE_PAIRS", dense)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    base = passage(50)
+    texts = {i: edit(base, DRAW.choice([1, 1, 2, 3])) for i in range(90)} | {i: passage(30) for i in range(90, 110)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(rows).collect()}
+    expected = plain.components(texts)
+    assert got == expected
+    assert 3 < len({c for _, c in expected.values()}) < 100

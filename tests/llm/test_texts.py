@@ -237,3 +237,32 @@ def test_ftrl_learns_telling_words_and_little_else():
     dense[learnt.bucket] = learnt.weight
     good, bad, empty = toxicity.scores(pa.array(["plain w1 w2", "w3 rotten apple w4", None]), dense, learnt.bias)
     assert good < 0.5 < bad and empty < 0.5
+
+
+def test_spanning_links_join_what_all_links_join():
+    draw = random.Random(13)
+    base = list(range(40))
+    sets = [set(draw.sample(base, draw.randint(20, 40))) | {100 * i + j for j in range(draw.randint(0, 6))} for i in range(1, 60)]
+    sets += [set(), {7}, {7}, set(sets[0])]
+    labels = np.arange(len(sets))
+    labels[5] = labels[3]
+
+    def joined(links):
+        group = {i: {i} for i in range(len(sets))}
+        for i, j in [*links, (3, 5)]:
+            both = group[i] | group[j]
+            for k in both:
+                group[k] = both
+        return {i: min(g) for i, g in group.items()}
+
+    every = [
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i)
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    ]
+    arrays = [np.array(sorted(s), np.int64) for s in sets]
+    got = minhash.spanning_links(np.arange(len(sets)), labels, arrays)
+    assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in every}
+    assert joined(got) == joined(every) and len(got) < len(sets)
+    assert minhash.spanning_links(np.zeros(0, int), np.zeros(0, int), []) == []

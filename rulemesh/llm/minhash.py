@@ -251,8 +251,9 @@ def _clustered(left: DataFrame) -> DataFrame:
         .agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"))
     )
     judged = members.join(pairs, "cluster").withColumn("dense", F.col("pairs") > DENSE_PAIRS * F.col("m"))
+    judged = cut_lineage(judged.drop("pairs"))
     named = left.join(own.withColumnRenamed("node", "doc_id"), "doc_id")
-    return named.join(judged.drop("pairs"), "cluster")
+    return keyed_join(named, judged, "cluster", fits=_small(judged, 3))
 
 
 def _sparse_pairs(left: DataFrame, known: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from rulemesh.llm.common import batch_slices, fold, sample_share
 
 BITS = 16
 MAX_ROWS = 20_000
+#: Bounds the counts and weights that pass through the driver.
+MAX_LANGUAGES = 500
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 #: Up to so many languages all splits are bits; beyond, a fixed number is drawn.
 ALL_SPLITS = 6
@@ -93,7 +95,9 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, trains: Column, max_rows: int = MAX_ROWS) -> Model:
     """A model of the languages in ``docs.lang``, learnt from rows for which ``trains`` holds."""
     usable = docs.filter(trains & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = usable.count()
+    rows, languages = usable.agg(F.count(F.lit(1)), F.approx_count_distinct("lang")).first()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"about {languages} languages; at most {MAX_LANGUAGES} are learnt")
     drawn = usable.filter(sample_share(rows, max_rows)).select("lang", "text")
 
     def count(batches):

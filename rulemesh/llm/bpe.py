@@ -38,9 +38,9 @@ from rulemesh.llm.common import batch_slices, fresh, powers, prefix_hash
 WINDOW = 16
 CHUNK_BITS = 9
 #: Bounds of a worker's stores.
-MAX_WORDS = 1_200_000
-MAX_CHUNK_BYTES = 48 << 20
-MAX_SEEN = 500_000
+MAX_WORDS = 500_000
+MAX_CHUNK_BYTES = 16 << 20
+MAX_SEEN = 200_000
 
 _SPACE = b" \t\n\r\x0b\x0c"
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rulemesh.session import ship_package
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 # Broadcasts stay below this many bytes, measured before.
 BROADCAST_BYTES = 16 << 20
 # A word is a run of other bytes than these.

@@ -13,6 +13,7 @@ scored each. Further columns are kept by ``score`` (which adds ``score`` and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,12 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Weights
 
     def learn(batches):
         rows = [
-            (int(i), np.frombuffer(b, np.int32), int(t))
+            (i.as_py(), np.frombuffer(b.as_buffer(), np.int32), t.as_py())
             for batch in batches
-            for i, t, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for i, t, b in zip(*batch.columns, strict=True)
         ]
         if rows:
-            rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2]))
+            rows.sort(key=lambda r: (r[0], zlib.crc32(r[1]), r[2]))
             learnt = ftrl([(b, t) for _, b, t in rows])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,7 +1,7 @@
 """Personal data in texts, by anchors and local parsers.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, a plus before a digit, digit
-pairs, digits around a dot, schemes and identifier cues. From each anchor a deterministic
+pairs, digits around a dot, schemes and identifier cues in any case. From each anchor a deterministic
 parser expands to the borders of what it may be and validates it; text without
 anchors is never looked at again. A parser moves over its characters once, so
 long runs cost their length. Anchors inside a place already parsed for the same kind are
@@ -35,14 +35,28 @@ _RUN = re.compile(r"[0-9]+")
 _DOTTED = frozenset(_DIGITS + ".")
 _SPACED = frozenset(_DIGITS + " -")
 _PHONE = re.compile(r"[ ().0-9-]*")
-_CUE_GAP = r"[:#\s]{0,3}(?:no\.?|number|nr\.?)?[:#\s]{0,3}"
+_CUE_GAP = r"[:#\s]{0,3}(?i:no\.?|number|nr\.?)?[:#\s]{0,3}"
 _IBAN = re.compile(_CUE_GAP + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+_IBAN_LEAST = 15
+#: Characters of an IBAN by country, without blanks (ISO 13616 registry).
+_IBAN_SIZE = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(_CUE_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s/@:]+(?=@)")
 
 
 def anchors() -> ahocorasick.Automaton:
-    """Anchor texts with the kind they start and where the place stands from the anchor's end."""
+    """Anchor texts, in lower case, with the kind they start and where the place stands from the
+    anchor's end."""
     found: dict[str, str] = {"@": "email", "://": "userinfo"}
     for a in _DIGITS:
         found["+" + a] = "phone"
@@ -50,8 +64,7 @@ def anchors() -> ahocorasick.Automaton:
             found[f"{a}.{b}"] = "ip"
             found[a + b] = found[f"{a} {b}"] = found[f"{a}-{b}"] = "card"
     for cue, kind in (("iban", "iban"), ("ssn", "ssn"), ("social security", "ssn")):
-        for text in (cue, cue.upper(), cue.title()):
-            found[text] = kind
+        found[cue] = kind
     made = ahocorasick.Automaton()
     for text, kind in found.items():
         made.add_word(text, (kind, len(text)))
@@ -67,11 +80,29 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _mod97(iban: str) -> bool:
-    own = iban.replace(" ", "")
+def _mod97(own: str) -> bool:
     return int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
 
 
+def _iban_end(text: str, a: int, b: int) -> int | None:
+    """The end of the IBAN at ``a``, which may be followed by words up to ``b``: by its country's
+    size, for other countries the last border of a word at which the check digits hold."""
+    places = [i for i in range(a, b) if text[i] != " "]
+    own = "".join(text[i] for i in places)
+    size = _IBAN_SIZE.get(own[:2])
+    for n in (size,) if size else range(len(own), _IBAN_LEAST - 1, -1):
+        if n <= len(own) and _mod97(own[:n]):
+            end = places[n - 1] + 1
+            if size or not text[end : end + 1].isalnum():
+                return end
+    return None
+
+
+def _lower(text: str) -> str:
+    """``text`` with ASCII letters in lower case, which moves no place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _region(text: str, at: int, floor: int, allowed: frozenset) -> tuple[int, int]:
     a = b = at
     while a > floor and text[a - 1] in allowed:
@@ -116,7 +147,7 @@ def find_in(text: str, automaton: ahocorasick.Automaton) -> list[dict]:
     """The spans of one text."""
     found: list[tuple[str, int, int]] = []
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, size) in automaton.iter(text):
+    for last, (kind, size) in automaton.iter(_lower(text)):
         at = last + 1 - size
         if at < done[kind]:
             continue
@@ -147,8 +178,10 @@ def find_in(text: str, automaton: ahocorasick.Automaton) -> list[dict]:
         else:
             rule = {"iban": _IBAN, "ssn": _SSN, "userinfo": _USERINFO}[kind]
             m = rule.match(text, last + 1)
-            if m and (kind != "iban" or _mod97(m[1])):
-                a, b = m.span(1) if kind != "userinfo" else m.span()
+            a, b = (m.span(1) if kind != "userinfo" else m.span()) if m else (0, None)
+            if b and kind == "iban":
+                b = _iban_end(text, a, b)
+            if b:
                 found.append((kind, a, b))
                 done[kind] = b
     return spans.ordered(found, KINDS)

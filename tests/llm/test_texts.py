@@ -104,6 +104,28 @@ def test_personal_spans_and_redaction():
     assert clean == "to [EMAIL], IBAN [IBAN], ssn [SSN], ftp://[USERINFO]@h/"
 
 
+@pytest.mark.parametrize("follows", ["", " BIC COBADEFFXXX", " Please pay", " 2024", " A", "\n2024", ", x", " now", "BIC"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"])
+def test_ibans_before_other_words(iban, follows):
+    text = f"IBAN: {iban}{follows}"
+    got = pii.find_in(text, pii.anchors())
+    assert [text[x["start"] : x["end"]] for x in got if x["kind"] == "iban"] == [iban]
+
+
+def test_ibans_of_unlisted_countries_and_wrong_ones():
+    anchors = pii.anchors()
+    ibans = lambda text: [text[x["start"] : x["end"]] for x in pii.find_in(text, anchors) if x["kind"] == "iban"]
+    assert ibans("iban DZ580002100001113000000570 BIC 2024") == ["DZ580002100001113000000570"]
+    assert ibans("IBAN DE88370400440532013000 BIC") == ibans("IBAN DE8937040044053201300") == []
+    assert ibans("IBAN DE89370400440532013000 IBAN NO9386011117947 X") == ["DE89370400440532013000", "NO9386011117947"]
+
+
+@pytest.mark.parametrize("cue", ["Social security number: ", "social Security No. ", "SOCIAL SECURITY NUMBER ", "Social Security Number: ", "Ssn ", "sSn: ", "İ social SECURITY "])
+def test_cues_in_any_case(cue):
+    text = f"{cue}123-45-6789 iBaN Number DE89370400440532013000 BIC"
+    assert pii.redacted(text, pii.find_in(text, pii.anchors())) == f"{cue}[SSN] iBaN Number [IBAN] BIC"
+
+
 SPEC = bpe.tokenizer_json(public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -17,7 +17,8 @@ small group, which compares all their sets at once and returns no more links tha
 
 Nulls and texts without words have an empty set and are linked with nothing. Ties take
 the smallest ``doc_id``. Rows without a ``doc_id`` take no part: they are kept, with a
-null component. Rows repeated under one id stay repeated. Further columns don't matter.
+null component. Rows repeated under one id stay repeated; different texts
+under one id are judged each, and a group's least id keeps all its texts. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulemesh.llm.common import (
     BROADCAST_BYTES,
@@ -36,6 +38,7 @@ from rulemesh.llm.common import (
     Words,
     batch_slices,
     distinct,
+    fresh,
     mixed,
     shingles,
 )
@@ -51,6 +54,7 @@ HUB_ROUNDS = 1
 DENSE_PAIRS = 16
 BLOCK_DOCS = 256
 _COLUMNS = 4096
+_SET = ["set_a", "set_b"]
 #: Pairs whose sketches (one bit a signature value) differ in more bits are not confirmed. At a
 #: similarity of 0.75 one bit in eight differs: 48, with a deviation of 6.5.
 SKETCH_BITS = 80
@@ -94,6 +98,12 @@ def _sets(data: np.ndarray, offsets: np.ndarray):
         yield distinct(every[a:b])
 
 
+def _set_names(own: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two hashes that name a set."""
+    one = np.add.reduce(mixed(own)).view(np.int64)
+    return one, np.add.reduce(mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)
+
+
 def _slices(batches):
     for batch in batches:
         yield from batch_slices(batch)
@@ -107,8 +117,9 @@ def profiles(docs: DataFrame) -> DataFrame:
             n, one, two, banded, drawn = [], [], [], [], []
             for own in _sets(data, offsets):
                 n.append(len(own))
-                one.append(np.add.reduce(mixed(own)).view(np.int64))
-                two.append(np.add.reduce(mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64))
+                a, b = _set_names(own)
+                one.append(a)
+                two.append(b)
                 values = signature(own)
                 banded.append(bands(*values).view(np.int64) if len(own) else np.zeros(0, np.int64))
                 drawn.append(sketch(*values))
@@ -130,21 +141,41 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole shingle set of each text."""
+    """doc_id, the names and the whole shingle set of each text."""
 
     def run(batches):
         for batch, data, offsets in _slices(batches):
-            own = [x.view(np.int64) for x in _sets(data, offsets)]
+            sets = list(_sets(data, offsets))
+            names = np.array([_set_names(x) for x in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(own, pa.list_(pa.int64()))],
-                names=["doc_id", "shingles"],
+                [
+                    batch.column("doc_id"),
+                    pa.array(names[:, 0]),
+                    pa.array(names[:, 1]),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "set_a", "set_b", "shingles"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, shingles array<long>"
+        run, "doc_id long, set_a long, set_b long, shingles array<long>"
     )
 
 
+def _with_set_names(docs: DataFrame, one: str, two: str) -> DataFrame:
+    """``docs`` with the names of the shingle set of ``text``."""
+
+    def run(batches):
+        for batch, data, offsets in _slices(batches):
+            names = np.array([_set_names(x) for x in _sets(data, offsets)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(names[:, 0]), pa.array(names[:, 1])], names=[*batch.schema.names, one, two]
+            )
+
+    added = [T.StructField(one, T.LongType()), T.StructField(two, T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+
 def alike(inter: Column, n: Column, m: Column) -> Column:
     return 100 * inter >= SIMILARITY_PERCENT * (n + m - inter)
 
@@ -155,8 +186,8 @@ def _small(df: DataFrame, columns: int) -> bool:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are alike. A hot ``a`` is spread over tasks."""
-    with_a = keyed_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    with_a = keyed_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     inter = F.size(F.array_intersect("of_a", "of_b"))
     return cut_lineage(with_b.filter(alike(inter, F.size("of_a"), F.size("of_b"))).select("a", "b"))
 
@@ -193,9 +224,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that still hold more than one component, with ``label``."""
-    own = components(links).withColumnRenamed("node", "doc_id")
-    named = members.join(own, "doc_id", "left").withColumn(
-        "label", F.coalesce("component", "doc_id")
+    own = components(links)
+    named = members.join(own, "node", "left").withColumn(
+        "label", F.coalesce("component", "node")
     ).drop("component")
     mixed_up = (
         named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
@@ -210,28 +241,31 @@ def _sizes_allow(n: str, m: str) -> Column:
 def linked(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes; ``known`` has their profiles. Their components
     are those of all links."""
-    entries = known.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    entries = known.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
     shared = cut_lineage(shared)
     if _small(shared, 1):
         shared = F.broadcast(shared)
     members = cut_lineage(entries.join(shared, "band", "left_semi"))
-    wanted = cut_lineage(members.select("doc_id").distinct())
-    sets = cut_lineage(shingle_sets(keyed_join(
-        docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id", "left_semi", fits=_small(wanted, 1)
-    )).dropDuplicates(["doc_id"]))
+    wanted = known.join(members.select("node").distinct(), "node", "left_semi")
+    wanted = cut_lineage(wanted.select("doc_id", *_SET, "node"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    held = keyed_join(texts, wanted.select("doc_id"), "doc_id", "left_semi", fits=_small(wanted, 1))
+    key = ["doc_id", *_SET]
+    sets = shingle_sets(held).dropDuplicates(key).join(F.broadcast(wanted) if _small(wanted, 4) else wanted, key)
+    sets = cut_lineage(sets.select("node", "shingles"))
 
     links = None
-    left = members.withColumn("label", F.col("doc_id"))
+    left = members.withColumn("label", F.col("node"))
     for _ in range(HUB_ROUNDS):
-        hubs = left.groupBy("band").agg(F.min(F.struct("doc_id", "n", "label")).alias("hub"))
+        hubs = left.groupBy("band").agg(F.min(F.struct("node", "n", "label")).alias("hub"))
         met = left.join(hubs, "band")
-        pairs = met.filter((F.col("doc_id") != F.col("hub.doc_id")) & (F.col("label") != F.col("hub.label")))
+        pairs = met.filter((F.col("node") != F.col("hub.node")) & (F.col("label") != F.col("hub.label")))
         pairs = pairs.withColumn("m", F.col("hub.n")).filter(_sizes_allow("n", "m"))
-        pairs = cut_lineage(pairs.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+        pairs = cut_lineage(pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
         found = confirmed(pairs, sets)
         links = found if links is None else links.unionByName(found)
-        rest = met.filter(F.col("doc_id") != F.col("hub.doc_id")).select("band", "doc_id", "n")
+        rest = met.filter(F.col("node") != F.col("hub.node")).select("band", "node", "n")
         left = _labelled(rest, links)
     left = cut_lineage(_clustered(left))
     sparse = _sparse_pairs(left.filter("not dense"), known)
@@ -241,8 +275,8 @@ def linked(docs: DataFrame, known: DataFrame) -> DataFrame:
 def _clustered(left: DataFrame) -> DataFrame:
     """``left`` with ``cluster``, the members that buckets hold together, its size ``m``, and whether it is
     ``dense``: whether its buckets make more than ``DENSE_PAIRS`` pairs a member."""
-    sizes = left.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("k"))
-    stars = left.join(sizes, "band").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    sizes = left.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k"))
+    stars = left.join(sizes, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     own = cut_lineage(components(stars.filter("a <> b").distinct()).withColumnRenamed("component", "cluster"))
     members = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     pairs = (
@@ -252,25 +286,25 @@ def _clustered(left: DataFrame) -> DataFrame:
     )
     judged = members.join(pairs, "cluster").withColumn("dense", F.col("pairs") > DENSE_PAIRS * F.col("m"))
     judged = cut_lineage(judged.drop("pairs"))
-    named = left.join(own.withColumnRenamed("node", "doc_id"), "doc_id")
+    named = left.join(own, "node")
     return keyed_join(named, judged, "cluster", fits=_small(judged, 3))
 
 
 def _sparse_pairs(left: DataFrame, known: DataFrame) -> DataFrame:
     """All pairs that a bucket holds, of different components and with sketches near enough."""
-    left = left.join(known.select("doc_id", "sketch"), "doc_id")
+    left = left.join(known.select("node", "sketch"), "node")
     differ = reduce(
         add,
         (F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(PERMUTATIONS // 32)),
     )
     one, two = left.alias("x"), left.alias("y")
     pairs = one.join(two, F.col("x.band") == F.col("y.band")).filter(
-        (F.col("x.doc_id") < F.col("y.doc_id"))
+        (F.col("x.node") < F.col("y.node"))
         & (F.col("x.label") != F.col("y.label"))
         & _sizes_allow("x.n", "y.n")
         & (differ <= SKETCH_BITS)
     )
-    return cut_lineage(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    return cut_lineage(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
 def spanning_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -315,50 +349,60 @@ def _dense_links(left: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         own = [np.asarray(x.values) for x in group.column("shingles").combine_chunks()]
-        found = spanning_links(group.column("doc_id").to_numpy(), group.column("label").to_numpy(), own)
+        found = spanning_links(group.column("node").to_numpy(), group.column("label").to_numpy(), own)
         return pa.table(
             {"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}
         )
 
     blocks = F.ceil(F.col("m") / BLOCK_DOCS).cast("int")
     members = (
-        left.select("cluster", "m", "doc_id", "label")
+        left.select("cluster", "m", "node", "label")
         .distinct()
         .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "cluster",
             F.least("block", "other").alias("low"),
             F.greatest("block", "other").alias("high"),
-            "doc_id",
+            "node",
             "label",
         )
     )
     return cut_lineage(
-        members.join(sets, "doc_id").groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+        members.join(sets, "node").groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (whether the document is the one that stays)."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, set_a, set_b, n_shingles, component_id, kept. Texts of one set are a node, numbered, so that
+    different texts under one ``doc_id`` are different nodes."""
     base = cut_lineage(profiles(docs))
     sized = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut_lineage(sized.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    known = sized.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    known = cut_lineage(known.dropDuplicates(["doc_id"]))
-    own = components(linked(docs, known)).withColumnRenamed("node", "rep")
-    named = classes.join(own, "rep", "left").select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
-    )
-    found = base.drop("bands").join(named, ["set_a", "set_b"], "left").withColumn(
+    classes = sized.groupBy(*_SET).agg(F.min("doc_id").alias("rep"))
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    key = ["doc_id", *_SET]
+    known = sized.join(classes.withColumnRenamed("rep", "doc_id"), key).dropDuplicates(key)
+    own = cut_lineage(components(linked(docs, cut_lineage(known))))
+    least = own.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    least = cut_lineage(least)
+    own = keyed_join(own, least, "component", fits=_small(least, 2)).select("node", "least")
+    named = classes.join(own, "node", "left").select(*_SET, F.coalesce("least", "rep").alias("component_id"))
+    found = base.drop("bands").join(named, _SET, "left").withColumn(
         "component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     )
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return found.select("doc_id", *_SET, "n_shingles", "component_id", kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (whether the document is the one that stays)."""
+    return _judged(docs).drop(*_SET)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group; columns unchanged."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = _judged(docs).filter("not kept").select(F.col("doc_id").alias("gone"), *_SET).distinct()
+    one, two = fresh(docs, "set_a"), fresh(docs, "set_b")
+    same = (F.col("d.doc_id") == F.col("g.gone")) & (F.col(f"d.{one}") == F.col("g.set_a")) & (F.col(f"d.{two}") == F.col("g.set_b"))
+    return _with_set_names(docs, one, two).alias("d").join(gone.alias("g"), same, "left_anti").drop(one, two)

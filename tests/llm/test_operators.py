@@ -297,3 +297,18 @@ def test_group_of_near_copies_in_blocks_and_pairs(spark, monkeypatch, dense):
     expected = plain.components(texts)
     assert got == expected
     assert 3 < len({c for _, c in expected.values()}) < 100
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_different_texts_under_one_id(spark, monkeypatch, dense):
+    """A near copy goes without the other texts of its id, and every text's links count."""
+    monkeypatch.setattr(minhash, "DENSE_PAIRS", dense)
+    base, second, alone = passage(60), passage(60), passage(60)
+    copies = [edit(base, 1) for _ in range(12)]
+    rows = [(3, base), (5, copies[0]), (5, alone), (5, alone), (5, second), (7, edit(second, 1)), (8, passage(40)), (None, base)]
+    rows += [(20, x) for x in copies[1:]] + [(20, passage(50)), (20, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [x for x in rows if x[1] not in copies and x != (7, rows[5][1])]
+    assert sorted(map(str, minhash.keep_one(docs).collect())) == sorted(map(str, spark.createDataFrame(left, docs.schema).collect()))
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == sorted([(3, 3), (5, 3), *[(5, 5)] * 3, (7, 5), (8, 8), *[(20, 3)] * 11, *[(20, 20)] * 2])

@@ -10,8 +10,11 @@ lesser counts over the sum of the greater, of 0.75 or more.
 
 At that similarity two windows of n shingles share at least 6/7 of them, so only
 windows with that many benchmark shingles are fingerprinted; this drops no confirmed pair. A
-similarity of 0.75 means about 11 differing bits with a deviation of 3, so the
-radius loses about one confirmed pair in 50,000 at the threshold and fewer above.
+similarity of 0.75 of shingles that occur once means about 11 differing bits with a deviation of
+3, so the radius loses about one such pair in 50,000 at the threshold and fewer above. A repeated
+shingle votes with its count, which moves more bits at equal similarity: windows that hold one, and
+all of an item length where an item does, are also compared exactly, radius or not, by
+the lists of the items that hold each shingle.
 
 Items are the query set: they are taken in blocks of at most ``BLOCK_BYTES`` of text,
 each broadcast to one pass over the documents. No document moves.
@@ -74,6 +77,15 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return least, len(a) + len(b) - least
 
 
+def repeating(own: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Whether the window of ``size`` shingles from each start on holds one twice."""
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1, np.int64)
+    same = own[order][1:] == own[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    return np.maximum.accumulate(before)[starts + size - 1] >= starts
+
+
 class Group:
     """The items of one length: shingles, fingerprints, and the multi-index over these."""
 
@@ -85,6 +97,8 @@ class Group:
 
     def finish(self) -> None:
         self.prints = np.vstack([fingerprints(bit_sums(s), np.array([0]), len(s)) for s in self.shingles])
+        self.repeats = any(len(np.unique(s)) < len(s) for s in self.shingles)
+        self.lists = None
         # tables[b, v]: the items whose byte b is close enough to v
         self.tables = np.stack([_NEAR[:, self.prints[:, b]] for b in range(BLOCKS)])
 
@@ -97,6 +111,23 @@ class Group:
         far = _ONES[prints[window] ^ self.prints[item]].sum(axis=1)
         return window[far <= RADIUS], item[far <= RADIUS]
 
+    def alike(self, window: np.ndarray) -> list[int]:
+        """All items whose weighted similarity to a window reaches the threshold."""
+        if self.lists is None:
+            counted = [np.unique(s, return_counts=True) for s in self.shingles]
+            every = np.concatenate([x for x, _ in counted])
+            order = np.argsort(every, kind="stable")
+            item = np.repeat(np.arange(len(counted)), [len(x) for x, _ in counted])
+            self.lists = every[order], item[order], np.concatenate([n for _, n in counted])[order]
+        every, item, count = self.lists
+        own, n = np.unique(window, return_counts=True)
+        a, b = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+        held = b - a
+        at = np.arange(held.sum()) + np.repeat(a - (np.cumsum(held) - held), held)
+        items, where = np.unique(item[at], return_inverse=True)
+        least = np.bincount(where, np.minimum(count[at], np.repeat(n, held)), len(items)).astype(np.int64)
+        return items[100 * least >= LEAST * (len(window) + self.size - least)].tolist()
+
 
 class Index:
     def __init__(self, ids: list[int], texts: pa.Array):
@@ -131,16 +162,22 @@ class Index:
         return out
 
     def _confirm(self, group: Group, own: np.ndarray, sums: np.ndarray, starts: np.ndarray, size: int, found: dict):
+        def met(w: int, i: int) -> None:
+            least, most = weighted_similarity(own[w : w + size], group.shingles[i])
+            if 100 * least >= LEAST * most:
+                key = group.ids[i]
+                best = found.get(key)
+                if best is None or (least / most, -w) > (best[0], -best[1]):
+                    found[key] = (least / most, w)
+
         for at in range(0, len(starts), 4096):
             part = starts[at : at + 4096]
             window, item = group.candidates(fingerprints(sums, part, size))
             for w, i in zip(part[window].tolist(), item.tolist(), strict=True):
-                least, most = weighted_similarity(own[w : w + size], group.shingles[i])
-                if 100 * least >= LEAST * most:
-                    key = group.ids[i]
-                    best = found.get(key)
-                    if best is None or least / most > best[0]:
-                        found[key] = (least / most, w)
+                met(w, i)
+        for w in (starts if group.repeats else starts[repeating(own, starts, size)]).tolist():
+            for i in group.alike(own[w : w + size]):
+                met(w, i)
 
     def search(self, own: np.ndarray, hit: np.ndarray, n_words: int, groups: list[Group]) -> dict:
         """Items met by one text: id -> (similarity, first word of the best window)."""

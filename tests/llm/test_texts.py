@@ -204,6 +204,20 @@ def test_leaks_against_all_windows():
     assert sum(map(bool, got)) > 30
 
 
+def test_leaks_with_repeated_shingles():
+    draw = random.Random(13)
+    items, texts = {}, []
+    for i in range(40):
+        base = " ".join(f"v{draw.randrange(10**6)}" for _ in range(184))
+        ends = [" ".join([f"{c}{i}"] * 30) for c in "xy"] + [" ".join(f"u{draw.randrange(10**6)}" for _ in range(30))]
+        items[i] = f"{base} {ends[draw.choice([0, 2])]}"
+        texts += [f"{base} {e}" for e in ends] + [f"before {base} {ends[1]} after"]
+    index = decontaminate.Index(list(items), pa.array(items.values()))
+    got = [own for data, offsets in slices(texts) for own in index.slice_matches(data, offsets)]
+    for text, own in zip(texts, got, strict=True):
+        assert {k: round(v[0], 9) for k, v in own.items()} == {k: round(v, 9) for k, v in plain.leaks(text, items).items()}, text
+
+
 def test_multi_index_finds_all_within_the_radius():
     draw = np.random.default_rng(5)
     group = decontaminate.Group(30)

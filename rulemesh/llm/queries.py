@@ -15,17 +15,22 @@ from rulemesh.llm import (
     langid,
     minhash,
     pii,
+    ranked,
     secrets,
     spans,
+    token_counts,
     token_store,
     toxicity,
+    variants,
     warc,
 )
 from rulemesh.llm.common import fold, table
 from rulemesh.session import shared_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+TOKEN_LIMIT = 512
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +95,23 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.summary(spark, path)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so that every distinct text is encoded once."""
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, BYTE_TOKENIZER, cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
@@ -101,5 +123,8 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
     "op10_token_store": op10_token_store,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ranked_search": op13_ranked_search,
 }
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemesh.functions.errors import error_category
 from rulemesh.functions.urls import absolutize, idn_url, is_redirect, last_location, scheme, scheme_error
 from rulemesh.operators.index import RuleIndex
-from rulemesh.operators.joins import HOT_ROWS, fits_broadcast, key_profile, keyed_join
+from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, fits_broadcast, keyed_join, stored
 from rulemesh.operators.rewrite import transform_urls
 from rulemesh.session import cut_lineage
 
 DEFAULT_PLATFORM = "default"
+TOO_MANY = "Too many redirects"
 
 
 def resolve_platform(
@@ -61,18 +65,18 @@ def capture_heads(captures: DataFrame) -> DataFrame:
     return first.select("url", "_head.http_code", "_head.location", "_head.error")
 
 
-def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
-    """``url, kind, http_code, error``: kind is final, error or redirect.
-
-    With rules, a Location of an unknown scheme is an error of its capture.
-    """
+def _fault(rules_given: bool) -> Column:
+    """Why a capture cannot be followed or used; with rules, a Location of an unknown scheme is such a fault."""
+    if not rules_given:
+        return F.col("error")
     moved = F.col("error").isNull() & F.col("location").isNotNull()
-    foreign = F.lit(None).cast("string")
-    if rules_given:
-        absolute = moved & (scheme(F.col("location")) != "")
-        foreign = F.when(absolute, scheme_error(F.col("location")))
-    fault = F.coalesce(F.col("error"), foreign)
-    return heads.select("url", "http_code", "location", fault.alias("error")).select(
+    absolute = moved & (scheme(F.col("location")) != "")
+    return F.coalesce(F.col("error"), F.when(absolute, scheme_error(F.col("location"))))
+
+
+def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
+    """``url, kind, http_code, error``: kind is final, error or redirect."""
+    return heads.select("url", "http_code", "location", _fault(rules_given).alias("error")).select(
         "url",
         F.when(F.col("error").isNotNull(), F.lit("error"))
         .when(F.col("location").isNotNull(), F.lit("redirect"))
@@ -92,14 +96,16 @@ def _redirect_edges(
     rules fail on it, ``fault`` says so and ``next_url`` is the Location itself.
     """
     resolved = absolutize(F.col("url"), F.col("location"))
-    moved = heads.filter(F.col("error").isNull() & F.col("location").isNotNull())
+    moved = heads.filter(_fault(index is not None).isNull() & F.col("location").isNotNull())
     no_platform = F.lit(None).cast("string").alias("next_platform")
     no_fault = F.lit(None).cast("string").alias("fault")
     if index is None:
         return moved.select(
             F.col("url").alias("current"), idn_url(resolved).alias("next_url"), no_platform, no_fault
         )
-    located = cut_lineage(moved.select(F.col("url").alias("current"), resolved.alias("url")))
+    located = moved.select(F.col("url").alias("current"), resolved.alias("url"))
+    if index.by_target is None:  # read several times then
+        located = cut_lineage(located)
     rewritten = transform_urls(located, index)
     target = idn_url(F.coalesce("new_url", "url")).alias("next_url")
     fault = F.col("error").alias("fault")
@@ -111,33 +117,221 @@ def _redirect_edges(
     ).select("current", target, "next_platform", fault)
 
 
-def _begun(starts: DataFrame, static_platform: str | None) -> DataFrame:
-    platform = F.col("platform") if "platform" in starts.columns else F.lit(DEFAULT_PLATFORM)
-    if static_platform is not None:
-        platform = F.lit(static_platform)
-    return starts.select(
-        "start_url", platform.alias("start_platform"), idn_url(F.col("start_url")).alias("current")
+@dataclass(frozen=True)
+class Side:
+    """Starts that follow the same rules, or none."""
+
+    starts: DataFrame  # start_url and, optionally, platform
+    index: RuleIndex | None = None
+    rulesets: DataFrame | None = None
+    static_platform: str | None = None
+
+
+def _begun(side: Side, mark: int) -> DataFrame:
+    platform = F.col("platform") if "platform" in side.starts.columns else F.lit(DEFAULT_PLATFORM)
+    if side.static_platform is not None:
+        platform = F.lit(side.static_platform)
+    current = idn_url(F.col("start_url"))
+    return side.starts.select(
+        F.lit(mark).alias("side"), "start_url", platform.alias("start_platform"), _node(mark, current).alias("node")
     ).distinct()
 
 
-def _unread(starts: DataFrame, static_platform: str | None) -> DataFrame:
-    """The starts where no capture may be read."""
-    return _begun(starts, static_platform).select(
-        "start_url",
-        "start_platform",
-        F.col("current").alias("final_url"),
-        F.lit(None).cast("int").alias("http_code"),
-        F.lit(0).alias("hops"),
-        F.lit("Too many redirects").alias("error"),
-        F.lit(False).alias("is_cycle"),
-        F.col("start_platform").alias("platform"),
+def _node(mark: int, url: Column) -> Column:
+    """Name of a URL among those of one side."""
+    return F.concat(F.lit(f"{mark} "), url)
+
+
+def _url(node: Column) -> Column:
+    return F.substr(node, F.locate(" ", node) + 1)
+
+
+def _first_jumps(side: Side, mark: int, heads: DataFrame, found: dict, hot_rows: int) -> DataFrame:
+    """Where one hop leads from each redirect."""
+    behind = _nodes(heads, side.index is not None).select(
+        F.col("url").alias("next_url"),
+        F.col("kind").alias("next_kind"),
+        F.col("http_code").alias("next_code"),
+        F.col("error").alias("next_error"),
+    )
+    edges = keyed_join(
+        _redirect_edges(heads, side.index, side.rulesets),
+        behind,
+        "next_url",
+        "left",
+        fits=found["bytes"] <= BROADCAST_BYTES,
+        rows=found["rows"],
+        hot_rows=hot_rows,
     )
+    faulty = F.col("fault").isNotNull()
+    missing = F.col("next_kind").isNull()
+    loop = F.coalesce(F.col("next_url") == F.col("current"), F.lit(False))
+    ended = F.when(faulty | missing, F.lit("error")).otherwise(F.col("next_kind"))
+    node = _node(mark, F.col("current"))
+    target = F.coalesce(_node(mark, F.col("next_url")), node)
+    kind = F.when(loop, F.lit("error")).otherwise(ended)
+    return edges.select(
+        node.alias("node"),
+        target.alias("target"),
+        kind.alias("kind"),
+        F.when(~faulty & ~loop, F.col("next_code")).alias("http_code"),
+        F.when(loop, F.lit(TOO_MANY))
+        .when(faulty, F.col("fault"))
+        .when(missing, F.lit("no capture"))
+        .otherwise(F.col("next_error"))
+        .alias("error"),
+        F.lit(1).alias("hops"),
+        loop.alias("is_cycle"),
+        F.col("next_platform").alias("platform"),
+        # Only what may meet itself again keeps its way: redirects under way, cycles and the
+        # Locations that rules fail on.
+        F.when(
+            faulty | loop | (kind == "redirect"),
+            F.array(F.struct(target.alias("node"), F.col("next_platform").alias("platform"))),
+        ).alias("path"),
+    )
+
 
+def _doubled(under_way: DataFrame, jumps: DataFrame, fits: bool, rows: int, hot_rows: int) -> DataFrame:
+    """The jumps ``under_way`` followed by those of their targets.
 
-def _stored(state: DataFrame) -> DataFrame:
-    """``state`` with ``open``, stored so that rows still under way lie apart: a finished row is
-    written once and read once."""
-    return cut_lineage(state.withColumn("open", F.col("kind") == "redirect"), "open")
+    A node met twice on the joined way ends it there, as a cycle. The first part has no
+    node twice, so only the second is searched.
+    """
+    onward = jumps.select(
+        F.col("node").alias("target"), *[F.col(c).alias(f"b_{c}") for c in jumps.columns if c != "node"]
+    )
+    joined = keyed_join(under_way, onward, "target", "left", fits=fits, rows=rows, hot_rows=hot_rows)
+    names = lambda path: F.transform(path, lambda x: x["node"])
+    passed = F.concat(F.array("node"), names(F.col("path")))
+    later = names(F.col("b_path"))
+    repeats = F.filter(
+        F.transform(
+            F.col("b_path"),
+            lambda x, i: F.when(F.array_contains(F.concat(passed, F.slice(later, F.lit(1), i)), x["node"]), i + 1),
+        ),
+        lambda i: i.isNotNull(),
+    )
+    lost = F.col("b_target").isNull()
+    looked = joined.withColumn("_at", F.array_min(repeats))
+    again = F.col("_at").isNotNull()
+    whole = F.concat("path", "b_path")
+    steps = F.col("hops") + F.when(lost, F.lit(1)).otherwise(F.coalesce("_at", "b_hops"))
+    way = F.slice(whole, F.lit(1), steps)
+    end = F.element_at(way, -1)
+    return looked.select(
+        "node",
+        F.when(again, end["node"]).otherwise(F.coalesce("b_target", "target")).alias("target"),
+        F.when(again | lost, F.lit("error")).otherwise(F.col("b_kind")).alias("kind"),
+        F.when(~again, F.col("b_http_code")).alias("http_code"),
+        F.when(again, F.lit(TOO_MANY))
+        .when(lost, F.lit("Location cannot be resolved"))
+        .otherwise(F.col("b_error"))
+        .alias("error"),
+        steps.alias("hops"),
+        again.alias("is_cycle"),
+        F.when(again, end["platform"]).otherwise(F.col("b_platform")).alias("platform"),
+        F.when(again, way).otherwise(whole).alias("path"),
+    )
+
+
+def _ends(first: DataFrame, hops: int, hot_rows: int) -> tuple[DataFrame, int, int]:
+    """The end of every redirect after at most ``hops`` hops, with its rows and bytes.
+
+    Redirects form a graph in which each node has one successor. A table of jumps of
+    2 ** k hops joined with itself gives that of 2 ** (k + 1); the tables of the binary
+    digits of ``hops``, one after the other, give exactly ``hops``. Ended jumps are written once and
+    only looked up from then on; those under way are doubled until there are none.
+    """
+    sized = lambda df: stored(
+        df.withColumn("open", F.col("kind") == "redirect"), "open", open=F.count_if(F.col("kind") == "redirect")
+    )
+    parts, counts = [], []
+
+    def add(df: DataFrame) -> None:
+        table, found = sized(df)
+        parts.append(table)
+        counts.append(found)
+
+    def jumps(level: int) -> tuple[DataFrame, bool]:
+        ended = [p.filter(~F.col("open")) for p in parts[:level]]
+        size = sum(c["bytes"] for c in counts[: level + 1])
+        return reduce(DataFrame.unionByName, [*ended, parts[level]]).drop("open"), size <= BROADCAST_BYTES
+
+    def double(level: int) -> None:
+        table, fits = jumps(level)
+        add(_doubled(parts[-1].filter("open").drop("open"), table, fits, counts[-1]["open"], hot_rows))
+
+    add(first)
+    level = 0
+    while 2 << level <= hops and counts[-1]["open"]:
+        double(level)
+        level += 1
+    rest = hops - (1 << level)
+    for digit in reversed(range(level)):
+        if rest >> digit & 1 and counts[-1]["open"]:
+            double(digit)
+    everything, _ = jumps(len(parts) - 1)
+    out = everything.withColumn(
+        "error", F.when(F.col("kind") == "redirect", F.lit(TOO_MANY)).otherwise(F.col("error"))
+    )
+    return out.drop("path"), sum(c["rows"] for c in counts), sum(c["bytes"] for c in counts)
+
+
+def _resolved(sides: list[Side], heads: DataFrame, max_depth: int, hot_rows: int) -> DataFrame:
+    """The results of all sides, with a column ``side``; their jumps are doubled together."""
+    begun = reduce(DataFrame.unionByName, [_begun(side, mark) for mark, side in enumerate(sides)])
+    none = F.lit(None).cast("string")
+    if max_depth < 1:
+        ended = begun.withColumns({
+            "target": F.col("node"), "http_code": F.lit(None).cast("int"), "hops": F.lit(0),
+            "error": F.lit(TOO_MANY), "is_cycle": F.lit(False), "platform": none,
+        })
+    else:
+        heads, found = stored(heads)
+
+        def still(side: Side, mark: int) -> DataFrame:
+            own = _nodes(heads, side.index is not None)
+            moved = F.col("kind") == "redirect"
+            return own.filter(~moved if max_depth > 1 else F.lit(True)).select(
+                _node(mark, F.col("url")).alias("node"),
+                _node(mark, F.col("url")).alias("target"),
+                "kind",
+                "http_code",
+                F.when(moved, F.lit(TOO_MANY)).otherwise(F.col("error")).alias("error"),
+                F.lit(0).alias("hops"),
+                F.lit(False).alias("is_cycle"),
+                none.alias("platform"),
+            )
+
+        parts = [still(side, mark) for mark, side in enumerate(sides)]
+        size = found["bytes"] * len(sides)
+        if max_depth > 1:
+            first = [_first_jumps(side, mark, heads, found, hot_rows) for mark, side in enumerate(sides)]
+            ends, _, own = _ends(reduce(DataFrame.unionByName, first), max_depth - 1, hot_rows)
+            parts.append(ends)
+            size += own
+        # Distinct starts: no key is hot here.
+        every = reduce(DataFrame.unionByName, parts)
+        ended = keyed_join(begun, every, "node", "left", fits=size <= BROADCAST_BYTES, rows=0)
+    unknown = F.col("target").isNull()
+    error = F.when(unknown, F.lit("no capture")).otherwise(F.col("error"))
+    static = reduce(
+        lambda chain, side: chain.when(F.col("side") == side[0], F.lit(side[1].static_platform)),
+        enumerate(sides),
+        F.when(F.lit(False), none),
+    )
+    return ended.select(
+        "side",
+        "start_url",
+        "start_platform",
+        _url(F.coalesce("target", "node")).alias("final_url"),
+        F.when(error.isNull(), F.col("http_code")).alias("http_code"),
+        F.coalesce("hops", F.lit(0)).alias("hops"),
+        error.alias("error"),
+        F.coalesce("is_cycle", F.lit(False)).alias("is_cycle"),
+        F.coalesce(static, "platform", "start_platform").alias("platform"),
+    )
 
 
 def resolve_redirects(
@@ -160,130 +354,38 @@ def resolve_redirects(
     Result: ``start_url, start_platform, final_url, http_code, hops, error,
     is_cycle, platform``.
 
-    Only redirects are followed: an edge table from each redirect to the kind of
-    capture behind it is made once, and each round joins the rows still under
-    way, which get fewer, with that table. A URL seen before proves a cycle,
+    Where each redirect ends is found for all of them together, by doubling the number of
+    hops, and the starts then join that table once. A URL seen before proves a cycle,
     which no depth resolves, so it ends there with the same error. Every distinct start
     gives one row; a redirect that cannot be followed ends it as an error.
     """
-    if max_depth < 1:
-        return _unread(starts, static_platform)
-    begun = _begun(starts, static_platform)
-
-    edges = cut_lineage(_redirect_edges(heads, index, rulesets))
-    nodes = _nodes(heads, index is not None)
-
-    behind = nodes.select(
-        F.col("url").alias("next_url"),
-        F.col("kind").alias("next_kind"),
-        F.col("http_code").alias("next_code"),
-        F.col("error").alias("next_error"),
-    )
-    faulty = F.col("fault").isNotNull()
-    missing = F.col("next_kind").isNull()
-    steps = cut_lineage(
-        keyed_join(edges, behind, "next_url", "left", hot_rows=hot_rows).select(
-            "current",
-            "next_url",
-            "next_platform",
-            F.when(faulty | missing, F.lit("error")).otherwise(F.col("next_kind")).alias("next_kind"),
-            F.when(~faulty, F.col("next_code")).alias("next_code"),
-            F.when(faulty, F.col("fault"))
-            .when(missing, F.lit("no capture"))
-            .otherwise(F.col("next_error"))
-            .alias("next_error"),
-        )
-    )
+    side = Side(starts, index, rulesets, static_platform)
+    return _resolved([side], heads, max_depth, hot_rows).drop("side")
 
-    # Distinct starts: no key is hot here.
-    own = nodes.withColumnRenamed("url", "current")
-    state = _stored(
-        begun.join(own, "current", "left").select(
-            "start_url",
-            "start_platform",
-            "current",
-            F.coalesce("kind", F.lit("error")).alias("kind"),
-            "http_code",
-            F.when(F.col("kind").isNull(), F.lit("no capture"))
-            .otherwise(F.col("error"))
-            .alias("error"),
-            F.lit(0).alias("hops"),
-            F.lit(False).alias("is_cycle"),
-            F.col("start_platform").alias("platform"),
-            F.array("current").alias("seen"),
-        )
-    )
 
-    finished = []
-    for _ in range(max_depth - 1):
-        finished.append(state.filter(~F.col("open")).drop("open"))
-        under_way = state.filter("open").drop("open")
-        rows = under_way.count()
-        if rows == 0:
-            state = under_way
-            break
-        # No key can be hot where all rows together are not.
-        tiers = key_profile(under_way, "current", hot_rows)[1] if rows > hot_rows else {}
-        again = F.coalesce(F.array_contains("seen", F.col("next_url")), F.lit(False))
-        lost = F.col("next_kind").isNull()
-        platform = (
-            F.col("start_platform")
-            if static_platform is not None
-            else F.coalesce("next_platform", "start_platform")
-        )
-        state = _stored(
-            keyed_join(
-                under_way.drop("kind", "http_code", "error", "is_cycle", "platform"),
-                steps,
-                "current",
-                "left",
-                tiers=tiers,
-            ).select(
-                "start_url",
-                "start_platform",
-                F.coalesce("next_url", "current").alias("current"),
-                F.when(again | lost, F.lit("error")).otherwise(F.col("next_kind")).alias("kind"),
-                F.when(~again, F.col("next_code")).alias("http_code"),
-                F.when(again, F.lit("Too many redirects"))
-                .when(lost, F.lit("Location cannot be resolved"))
-                .otherwise(F.col("next_error"))
-                .alias("error"),
-                (F.col("hops") + 1).alias("hops"),
-                again.alias("is_cycle"),
-                platform.alias("platform"),
-                F.array_append("seen", F.coalesce("next_url", "current")).alias("seen"),
-            )
-        )
-    exhausted = F.col("kind") == "redirect"
-    finished.append(
-        state.drop("open").withColumn(
-            "error",
-            F.when(exhausted, F.lit("Too many redirects")).otherwise(F.col("error")),
-        )
-    )
-    everything = finished[0]
-    for part in finished[1:]:
-        everything = everything.unionByName(part)
-    failed = F.col("error").isNotNull()
-    return everything.select(
-        "start_url",
-        "start_platform",
-        F.col("current").alias("final_url"),
-        F.when(~failed, F.col("http_code")).alias("http_code"),
-        "hops",
-        "error",
-        "is_cycle",
-        "platform",
-    )
+def resolve_both(
+    plain: Side, rewritten: Side, heads: DataFrame, max_depth: int = 10, hot_rows: int = HOT_ROWS
+) -> tuple[tuple[DataFrame, dict], tuple[DataFrame, dict]]:
+    """:func:`resolve_redirects` of two sides in one pass. Both results are stored; each comes
+    with the rows and bytes of the two together."""
+    table, found = stored(_resolved([plain, rewritten], heads, max_depth, hot_rows), "side")
+    first, second = (table.filter(F.col("side") == mark).drop("side") for mark in (0, 1))
+    return (first, found), (second, found)
 
 
 def pair_captures(
-    tests: DataFrame, plain: DataFrame, rewritten: DataFrame, hot_rows: int = HOT_ROWS
+    tests: DataFrame,
+    plain: DataFrame,
+    rewritten: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    fits: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Plain and rewritten response beside each test.
 
     ``tests`` has ``url, new_url, platform``; the two others are results of
-    :func:`resolve_redirects`. A failed plain fetch leaves its code NULL.
+    :func:`resolve_redirects`, which ``fits`` says may be broadcast. ``rows`` is the number of tests where
+    it is known. A failed plain fetch leaves its code NULL.
     """
 
     def start_of(url: str, platform: str):
@@ -302,6 +404,7 @@ def pair_captures(
         F.col("final_url").alias("new_final_url"),
         F.col("error").alias("new_error"),
     )
-    with_plain = keyed_join(tests, first, "url", "left", hot_rows=hot_rows)
+    known = {"fits": fits, "rows": rows, "hot_rows": hot_rows}
+    with_plain = keyed_join(tests, first, "url", "left", **known)
     started = with_plain.select("*", start_of("new_url", "platform"))
-    return keyed_join(started, second, "_start", "left", hot_rows=hot_rows).drop("_start")
+    return keyed_join(started, second, "_start", "left", **known).drop("_start")

@@ -18,12 +18,13 @@ from rulemesh.operators.corpus import (
 )
 from rulemesh.operators.coverage import coverage_gate, coverage_problems, what_applies
 from rulemesh.operators.index import RuleIndex, build_rule_index
-from rulemesh.operators.joins import fits_broadcast, keyed_join
+from rulemesh.operators.joins import BROADCAST_BYTES, fits_broadcast, keyed_join, stored
 from rulemesh.operators.redirects import (
+    Side,
     capture_heads,
     pair_captures,
+    resolve_both,
     resolve_platform,
-    resolve_redirects,
 )
 from rulemesh.operators.rewrite import apply_ruleset, not_excluded, transform_urls
 from rulemesh.session import cut_lineage, ship_package
@@ -108,25 +109,18 @@ def tested_pairs(
     elif ca_sets is not None:
         resolved = lambda df: resolve_platform(df, ca_sets).withColumn("platform", F.col("ca_set")).drop("ca_set")
         tests, rulesets = resolved(tests), resolved(rulesets)
-    # Both are read by two resolutions, the tests once more by the pairing.
-    tests = cut_lineage(tests)
-    heads = cut_lineage(capture_heads(captures))
-    plain = resolve_redirects(
-        tests.select(F.col("url").alias("start_url")),
-        heads,
-        max_depth=max_depth,
-        hot_rows=index.hot_rows,
-    )
-    secure = resolve_redirects(
+    # Read by both resolutions and once more by the pairing.
+    tests, found = stored(tests)
+    plain = Side(tests.select(F.col("url").alias("start_url")))
+    secure = Side(
         tests.filter("new_url IS NOT NULL").select(F.col("new_url").alias("start_url"), "platform"),
-        heads,
         index,
         rulesets,
-        max_depth=max_depth,
-        static_platform=static_ca_set,
-        hot_rows=index.hot_rows,
+        static_ca_set,
     )
-    return pair_captures(tests, plain, secure, index.hot_rows)
+    (first, size), (second, _) = resolve_both(plain, secure, capture_heads(captures), max_depth, index.hot_rows)
+    fits = size["bytes"] <= BROADCAST_BYTES
+    return pair_captures(tests, first, second, index.hot_rows, fits, found["rows"])
 
 
 @dataclass(frozen=True)

@@ -30,6 +30,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+# The folders of local sessions without a shared one, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below the shared one.
 
@@ -41,8 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="rulemesh-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own_folders.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rulemesh-")
+        _own_folders[spark.sparkContext.applicationId] = named
     return f"{named.rstrip('/')}/rulemesh-{spark.sparkContext.applicationId}"
 
 

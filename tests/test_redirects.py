@@ -1,7 +1,11 @@
+import dataclasses
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from rulemesh.operators.index import build_rule_index
-from rulemesh.operators.redirects import capture_heads, resolve_platform, resolve_redirects
+from rulemesh.operators.redirects import Side, capture_heads, resolve_both, resolve_platform, resolve_redirects
 
 SCHEMA = "url string, http_code int, headers string, body string, error string, short_error string"
 
@@ -124,3 +128,83 @@ def test_platforms(spark):
     assert {r.ca_set for r in static} == {"only"}
     with pytest.raises(ValueError):
         resolve_platform(rulesets, platforms.filter("platform = 'cacert'"))
+
+
+def walked(captures, start, max_depth):
+    """The same by following one hop after the other."""
+    moved = {c[0]: c[2].split("Location: ")[1].split("\r")[0] for c in captures if "Location" in c[2]}
+    known = {c[0] for c in captures}
+    seen, current = [start], start
+    while True:
+        if current not in known:
+            return current, None, len(seen) - 1, "no capture", False
+        if current not in moved:
+            return current, 200, len(seen) - 1, None, False
+        if len(seen) == max_depth:
+            return current, None, len(seen) - 1, "Too many redirects", False
+        current = moved[current]
+        if current in seen:
+            return current, None, len(seen), "Too many redirects", True
+        seen.append(current)
+
+
+@pytest.mark.parametrize("max_depth", [1, 2, 3, 6, 8, 10, 14])
+def test_random_graphs_with_cycles(spark, max_depth):
+    draw = random.Random(max_depth)
+    names = [f"http://h/{i}" for i in range(90)]
+    captures = []
+    for i, name in enumerate(names):
+        kind = draw.random()
+        if kind < 0.12:
+            captures.append(capture(name))
+        elif kind < 0.95:  # mostly to the next, so that chains get long
+            captures.append(capture(name, 302, names[(i + 1) % 90] if draw.random() < 0.8 else draw.choice(names)))
+    captures += [capture("http://h/self", 301, "http://h/self"), capture("http://h/toself", 301, "http://h/self")]
+    starts = [*names, "http://h/self", "http://h/toself"]
+    for options in ({}, {"hot_rows": 2}):
+        got = resolve(spark, captures, starts, max_depth=max_depth, **options)
+        for url in starts:
+            row = got[url]
+            assert (row.final_url, row.http_code, row.hops, row.error, row.is_cycle) == walked(captures, url, max_depth)
+
+
+def test_a_location_the_rules_fail_on_may_close_a_cycle(spark, make_corpus):
+    corpus = make_corpus({"s.xml": {"targets": ["s.com"], "rules": [("^http://s\\.com/(b)", "http://s.com/$2")]}})
+    rules = corpus.rules.withColumn("error", F.lit("No group 2"))
+    index = build_rule_index(dataclasses.replace(corpus, rules=rules))
+    captures = [
+        capture("http://s.com/a", 301, "http://h/mid"),
+        capture("http://h/mid", 301, "http://s.com/a"),
+        capture("http://h/x", 301, "http://h/y"),
+        capture("http://h/y", 301, "http://s.com/q"),
+    ]
+    got = resolve(spark, captures, ["http://s.com/a", "http://h/mid", "http://h/x"], index, corpus.rulesets)
+    # The rules fail on s.com, but a URL seen before is a cycle first of all.
+    assert (got["http://s.com/a"].error, got["http://s.com/a"].hops) == ("Too many redirects", 2)
+    assert (got["http://h/mid"].final_url, got["http://h/mid"].hops, got["http://h/mid"].error) == ("http://s.com/a", 1, "No group 2")
+    assert (got["http://h/x"].hops, got["http://h/x"].error) == (2, "No group 2")
+
+
+def test_both_sides_in_one_pass(spark, make_corpus):
+    corpus = make_corpus(
+        {"s.xml": {"targets": ["s.com"], "rules": [("^http:", "https:")]}}, {"s.xml": "cacert"}
+    )
+    index = build_rule_index(corpus)
+    captures = [
+        capture("http://h/a", 301, "http://s.com/b"),
+        capture("http://s.com/b", 302, "/c"),
+        capture("http://s.com/c"),
+        capture("https://s.com/b", 302, "http://h/d"),
+        capture("http://h/d", 404),
+        capture("http://h/f", 301, "ftp://h/x"),
+    ]
+    heads = capture_heads(spark.createDataFrame(captures, SCHEMA))
+    starts = spark.createDataFrame([(c[0], "firefox") for c in captures], "start_url string, platform string")
+    plain, rewritten = Side(starts.select("start_url")), Side(starts, index, corpus.rulesets)
+    (first, found), (second, _) = resolve_both(plain, rewritten, heads)
+    assert found["rows"] == 2 * len(captures)
+    for got, side in ((first, plain), (second, rewritten)):
+        alone = resolve_redirects(side.starts, heads, side.index, side.rulesets)
+        assert sorted(map(str, got.collect())) == sorted(map(str, alone.select(*got.columns).collect()))
+    ends = {r.start_url: (r.final_url, r.platform) for r in second.collect()}
+    assert ends["http://h/a"] == ("http://h/d", "firefox")

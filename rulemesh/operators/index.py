@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulemesh.functions.patterns import necessary_literal
 from rulemesh.operators.corpus import Corpus
-from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, keyed_join
+from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, keyed_join, stored
 from rulemesh.session import cut_lineage
 
 # Elements of one rule set are kept in ordered lists of at most this many.
@@ -38,11 +39,14 @@ class Shape:
 
 @dataclass(frozen=True)
 class RuleIndex:
+    """A corpus made ready, stored. Its tables are read from the files, by any number of URL tables."""
+
     targets: DataFrame  # ruleset_id, host
     rules: DataFrame  # ruleset_id, items
     exclusions: DataFrame  # ruleset_id, items
+    platforms: DataFrame  # ruleset_id, platform
     shapes: tuple[Shape, ...] | None  # None: too many to write into the plan
-    fits: bool  # all three tables together may be broadcast
+    fits: bool  # all tables together may be broadcast
     one_list: bool  # no rule set has more than one list of either kind
     # target_host, rulesets: everything a host needs in one row, to broadcast;
     # None where that is too large or takes too many look-ups per URL.
@@ -63,101 +67,99 @@ def _target_shapes(targets: DataFrame) -> DataFrame:
     )
 
 
-def _in_lists(elements: DataFrame, columns: list[str]) -> DataFrame:
-    """Ordered lists of at most ``CHUNK`` elements per rule set."""
-    item = F.struct(F.col("pos").cast("int").alias("pos"), *columns)
-    return (
-        elements.withColumn("_list", F.floor(F.col("pos") / CHUNK))
-        .groupBy("ruleset_id", "_list")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-    )
+RULE_ITEM = "struct<pos:int,from_pattern:string,to_java:string,error:string,literal:string>"
+EXCLUSION_ITEM = "struct<pos:int,pattern:string,literal:string>"
 
 
-def _by_target(targets: DataFrame, rules: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """One row per target text with the lists of all its rule sets, by id."""
-    ruleset = F.struct("ruleset_id", F.col("_exclusions"), F.col("_rules"))
-    return (
-        targets.join(
-            exclusions.select("ruleset_id", F.col("items").alias("_exclusions")),
+def _element_lists(corpus: Corpus) -> DataFrame:
+    """``ruleset_id, list, targets, rules, exclusions, bytes, platform``: the elements of a rule set in ordered lists of at
+    most ``CHUNK`` each, gathered by one aggregation. A pattern's necessary literal stands beside it. The platform is
+    in the first list, which every rule set has."""
+    rules = corpus.rules
+    if "error" not in rules.columns:
+        rules = rules.withColumn("error", F.lit(None).cast("string"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def part(elements: DataFrame, bytes_: Column, **own: Column) -> DataFrame:
+        kinds = {"target": "struct<pos:int,host:string>", "rule": RULE_ITEM, "exclusion": EXCLUSION_ITEM, "platform": "string"}
+        return elements.select(
             "ruleset_id",
-            "left",
+            F.floor(F.col("pos") / CHUNK).alias("list"),
+            bytes_.alias("bytes"),
+            *[own.get(name, none(kind)).cast(kind).alias(name) for name, kind in kinds.items()],
+        )
+
+    size = lambda *texts: F.octet_length(F.concat("ruleset_id", *texts)) + 64
+    pos = F.col("pos").cast("int").alias("pos")
+    literal = lambda name: necessary_literal(F.col(name)).alias("literal")
+    rows = (
+        part(corpus.targets, size("host"), target=F.struct(pos, "host"))
+        .unionByName(
+            part(
+                rules,
+                size("from_pattern", F.coalesce("to_java", F.lit(""))),
+                rule=F.struct(pos, "from_pattern", "to_java", "error", literal("from_pattern")),
+            )
         )
-        .join(
-            rules.select("ruleset_id", F.col("items").alias("_rules")), "ruleset_id", "left"
+        .unionByName(part(corpus.exclusions, size("pattern"), exclusion=F.struct(pos, "pattern", literal("pattern"))))
+        .unionByName(
+            part(
+                corpus.rulesets.withColumn("pos", F.lit(0)),
+                size(F.coalesce("platform", F.lit(""))),
+                platform=F.col("platform"),
+            )
         )
-        .groupBy(F.col("host").alias("target_host"))
-        .agg(F.sort_array(F.collect_list(ruleset)).alias("rulesets"))
     )
+    ordered = lambda name: F.sort_array(F.collect_list(name))
+    return rows.groupBy("ruleset_id", "list").agg(
+        F.transform(ordered("target"), lambda t: t["host"]).alias("targets"),
+        ordered("rule").alias("rules"),
+        ordered("exclusion").alias("exclusions"),
+        F.sum("bytes").alias("bytes"),
+        F.min("platform").alias("platform"),
+    )
+
+
+def _by_target(lists: DataFrame) -> DataFrame:
+    """One row per target text with the lists of all its rule sets, by id."""
+    ruleset = F.struct("ruleset_id", F.col("exclusions").alias("_exclusions"), F.col("rules").alias("_rules"))
+    spread = lists.select(F.explode("targets").alias("target_host"), ruleset.alias("ruleset"))
+    return spread.groupBy("target_host").agg(F.sort_array(F.collect_list("ruleset")).alias("rulesets"))
 
 
 def build_rule_index(
     corpus: Corpus, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS
 ) -> RuleIndex:
-    """Two aggregations over the corpus find its shapes and its size."""
-    shapes = (
-        _target_shapes(corpus.targets)
-        .distinct()
-        .limit(MAX_SHAPES + 1)
-        .collect()
+    """The lists, stored; their write measures them, and one aggregation finds the shapes of the targets."""
+    lists, found = stored(
+        _element_lists(corpus),
+        last=F.max("list"),
+        listed=F.sum("bytes"),
+        repeated=F.sum(F.col("bytes") * F.size("targets")),
     )
+    targets = lists.select("ruleset_id", F.explode("targets").alias("host"))
+    shapes = _target_shapes(targets).distinct().limit(MAX_SHAPES + 1).collect()
     few = len(shapes) <= MAX_SHAPES
+    shapes = tuple(sorted((Shape(r["labels"], tuple(r["stars"])) for r in shapes), key=lambda x: (x.labels, x.stars)))
+    one_list = found["last"] == 0
+    fits = few and found["listed"] <= broadcast_bytes
+    lookups = sum(1 for shape in shapes if shape.stars) + 1
+    shuffle_free = fits and one_list and lookups <= MAX_LOOKUPS and found["repeated"] <= broadcast_bytes
+    by_target = cut_lineage(_by_target(lists)) if shuffle_free else None
+    return _index(lists, targets, shapes if few else None, fits, one_list, by_target, hot_rows)
 
-    rules = corpus.rules
-    if "error" not in rules.columns:
-        rules = rules.withColumn("error", F.lit(None).cast("string"))
 
-    def weighed(elements: DataFrame, *texts: str) -> DataFrame:
-        return elements.select(
-            "ruleset_id",
-            F.col("pos").cast("int").alias("last"),
-            (F.octet_length(F.concat("ruleset_id", *texts)) + 64).alias("bytes"),
-            F.lit(0).alias("targets"),
-        )
-
-    counted = corpus.targets.select(
-        "ruleset_id",
-        F.lit(0).alias("last"),
-        (F.octet_length(F.concat("ruleset_id", "host")) + 64).alias("bytes"),
-        F.lit(1).alias("targets"),
-    )
-    measured = (
-        weighed(rules, "from_pattern", "to_java")
-        .unionByName(weighed(corpus.exclusions, "pattern"))
-        .unionByName(counted)
-        .groupBy("ruleset_id")
-        .agg(
-            F.max("last").alias("last"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("targets").alias("targets"),
-        )
-        .agg(
-            F.coalesce(F.max("last"), F.lit(0)).alias("last"),
-            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-            F.coalesce(F.sum(F.col("bytes") * F.col("targets")), F.lit(0)).alias("repeated"),
-        )
-        .first()
-    )
-    one_list = measured["last"] < CHUNK
-    fits = few and measured["bytes"] <= broadcast_bytes
-    found = tuple(Shape(r["labels"], tuple(r["stars"])) for r in shapes) if few else None
-    targets = corpus.targets.select("ruleset_id", "host")
-    rule_lists = _in_lists(rules, ["from_pattern", "to_java", "error"])
-    exclusion_lists = _in_lists(corpus.exclusions, ["pattern"])
-    lookups = sum(1 for shape in found or () if shape.stars) + 1
-    shuffle_free = (
-        fits
-        and one_list
-        and lookups <= MAX_LOOKUPS
-        and measured["repeated"] <= broadcast_bytes
-    )
+def _index(lists, targets, shapes, fits: bool, one_list: bool, by_target, hot_rows: int) -> RuleIndex:
+    items = lambda name: lists.filter(F.size(name) > 0).select("ruleset_id", F.col(name).alias("items"))
     return RuleIndex(
         targets=targets,
-        rules=rule_lists,
-        exclusions=exclusion_lists,
-        shapes=found,
+        rules=items("rules"),
+        exclusions=items("exclusions"),
+        platforms=lists.filter("list = 0").select("ruleset_id", "platform"),
+        shapes=shapes,
         fits=fits,
         one_list=one_list,
-        by_target=_by_target(targets, rule_lists, exclusion_lists) if shuffle_free else None,
+        by_target=by_target,
         hot_rows=hot_rows,
     )
 
@@ -230,7 +232,8 @@ def _walked_keys(hosts: DataFrame, index: RuleIndex) -> DataFrame:
 
 
 def first_rule_hit(url: Column, items: Column) -> Column:
-    """First rule of the list that changes the URL; later ones are not tried."""
+    """First rule of the list that changes the URL; later ones are not tried. A pattern whose necessary
+    literal the URL does not hold is not run."""
 
     def attempt(rule: Column) -> Column:
         changed = F.transform(
@@ -249,7 +252,7 @@ def first_rule_hit(url: Column, items: Column) -> Column:
             F.lit(None).cast("string").alias("new_url"),
             rule["error"].alias("error"),
         )
-        return F.when(rule["error"].isNotNull(), failed).otherwise(changed[0])
+        return F.when(rule["error"].isNotNull(), failed).when(F.contains(url, rule["literal"]), changed[0])
 
     return F.aggregate(
         items, F.lit(None).cast(RULE_HIT), lambda hit, rule: F.coalesce(hit, attempt(rule))
@@ -257,11 +260,14 @@ def first_rule_hit(url: Column, items: Column) -> Column:
 
 
 def first_match(url: Column, items: Column, pattern: str) -> Column:
-    """``pos`` of the first element whose pattern is found in the URL."""
+    """``pos`` of the first element whose pattern is found in the URL. A pattern whose necessary literal the
+    URL does not hold is not run."""
     return F.aggregate(
         items,
         F.lit(None).cast("int"),
-        lambda hit, item: F.coalesce(hit, F.when(F.rlike(url, item[pattern]), item["pos"])),
+        lambda hit, item: F.coalesce(
+            hit, F.when(F.contains(url, item["literal"]) & F.rlike(url, item[pattern]), item["pos"])
+        ),
     )
 
 

@@ -88,9 +88,9 @@ def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
 
 
 def _redirect_edges(
-    heads: DataFrame, index: RuleIndex | None, rulesets: DataFrame | None
+    heads: DataFrame, rows: int, index: RuleIndex | None, rulesets: DataFrame | None
 ) -> DataFrame:
-    """``current, next_url, next_platform, fault`` of each redirect.
+    """``current, next_url, next_platform, fault`` of each redirect among the ``rows`` heads.
 
     Every Location is resolved and rewritten once here, not once per hop. Where the
     rules fail on it, ``fault`` says so and ``next_url`` is the Location itself.
@@ -111,9 +111,10 @@ def _redirect_edges(
     fault = F.col("error").alias("fault")
     if rulesets is None:
         return rewritten.select("current", target, no_platform, fault)
+    # At most as many rows as the index has rule sets.
     named = rulesets.select("ruleset_id", F.col("platform").alias("next_platform"))
     return keyed_join(
-        rewritten, named, "ruleset_id", "left", fits=fits_broadcast(named), hot_rows=index.hot_rows
+        rewritten, named, "ruleset_id", "left", fits=index.fits, rows=rows, hot_rows=index.hot_rows
     ).select("current", target, "next_platform", fault)
 
 
@@ -155,7 +156,7 @@ def _first_jumps(side: Side, mark: int, heads: DataFrame, found: dict, hot_rows:
         F.col("error").alias("next_error"),
     )
     edges = keyed_join(
-        _redirect_edges(heads, side.index, side.rulesets),
+        _redirect_edges(heads, found["rows"], side.index, side.rulesets),
         behind,
         "next_url",
         "left",

@@ -18,7 +18,7 @@ from rulemesh.operators.corpus import (
 )
 from rulemesh.operators.coverage import coverage_gate, coverage_problems, what_applies
 from rulemesh.operators.index import RuleIndex, build_rule_index
-from rulemesh.operators.joins import BROADCAST_BYTES, fits_broadcast, keyed_join, stored
+from rulemesh.operators.joins import BROADCAST_BYTES, keyed_join, stored
 from rulemesh.operators.redirects import (
     Side,
     capture_heads,
@@ -86,7 +86,6 @@ def tested_pairs(
     ca_set) names the certificate set of each platform, that of ``default`` for unknown ones;
     the sets then take the platforms' place.
     """
-    platforms = corpus.rulesets.select("ruleset_id", "platform")
     if url_list is None:
         tests = derive_tests(corpus).withColumn("pos", F.col("pos").cast("bigint"))
         rewritten = apply_ruleset(not_excluded(tests, index), index)
@@ -101,9 +100,9 @@ def tested_pairs(
             F.col("error").alias("regex_error"),
         )
     tests = keyed_join(
-        rewritten, platforms, "ruleset_id", "left", fits=fits_broadcast(platforms), hot_rows=index.hot_rows
+        rewritten, index.platforms, "ruleset_id", "left", fits=index.fits, hot_rows=index.hot_rows
     ).withColumn("platform", F.coalesce("platform", F.lit("default")))
-    rulesets = corpus.rulesets
+    rulesets = index.platforms
     if static_ca_set is not None:
         tests = tests.withColumn("platform", F.lit(static_ca_set))
     elif ca_sets is not None:

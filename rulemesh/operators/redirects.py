@@ -65,28 +65,30 @@ def capture_heads(captures: DataFrame) -> DataFrame:
     return first.select("url", "_head.http_code", "_head.location", "_head.error")
 
 
-def _fault(rules_given: bool) -> Column:
-    """Why a capture cannot be followed or used; with rules, a Location of an unknown scheme is such a fault."""
+def _fault(rules_given: bool, mark: str = "") -> Column:
+    """Why a capture cannot be followed or used; with rules, a Location of an unknown scheme is such a fault.
+    ``mark`` stands before the names of the capture's columns."""
+    error, location = F.col(f"{mark}error"), F.col(f"{mark}location")
     if not rules_given:
-        return F.col("error")
-    moved = F.col("error").isNull() & F.col("location").isNotNull()
-    absolute = moved & (scheme(F.col("location")) != "")
-    return F.coalesce(F.col("error"), F.when(absolute, scheme_error(F.col("location"))))
+        return error
+    absolute = error.isNull() & location.isNotNull() & (scheme(location) != "")
+    return F.coalesce(error, F.when(absolute, scheme_error(location)))
 
 
-def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
-    """``url, kind, http_code, error``: kind is final, error or redirect."""
-    return heads.select("url", "http_code", "location", _fault(rules_given).alias("error")).select(
-        "url",
-        F.when(F.col("error").isNotNull(), F.lit("error"))
-        .when(F.col("location").isNotNull(), F.lit("redirect"))
+def _kind(rules_given: bool, mark: str = "") -> Column:
+    """final, error or redirect."""
+    return (
+        F.when(_fault(rules_given, mark).isNotNull(), F.lit("error"))
+        .when(F.col(f"{mark}location").isNotNull(), F.lit("redirect"))
         .otherwise(F.lit("final"))
-        .alias("kind"),
-        "http_code",
-        "error",
     )
 
 
+def _nodes(heads: DataFrame, rules_given: bool) -> DataFrame:
+    """``url, kind, http_code, error``."""
+    return heads.select("url", _kind(rules_given).alias("kind"), "http_code", _fault(rules_given).alias("error"))
+
+
 def _redirect_edges(
     heads: DataFrame, rows: int, index: RuleIndex | None, rulesets: DataFrame | None
 ) -> DataFrame:
@@ -149,12 +151,13 @@ def _url(node: Column) -> Column:
 
 def _first_jumps(side: Side, mark: int, heads: DataFrame, found: dict, hot_rows: int) -> DataFrame:
     """Where one hop leads from each redirect."""
-    behind = _nodes(heads, side.index is not None).select(
+    # The same rows for every side, so that they are sent once.
+    behind = heads.select(
         F.col("url").alias("next_url"),
-        F.col("kind").alias("next_kind"),
-        F.col("http_code").alias("next_code"),
-        F.col("error").alias("next_error"),
+        *[F.col(c).alias(f"next_{c}") for c in ("http_code", "location", "error")],
+        F.lit(True).alias("next_known"),
     )
+    rules_given = side.index is not None
     edges = keyed_join(
         _redirect_edges(heads, found["rows"], side.index, side.rulesets),
         behind,
@@ -165,9 +168,9 @@ def _first_jumps(side: Side, mark: int, heads: DataFrame, found: dict, hot_rows:
         hot_rows=hot_rows,
     )
     faulty = F.col("fault").isNotNull()
-    missing = F.col("next_kind").isNull()
+    missing = F.col("next_known").isNull()
     loop = F.coalesce(F.col("next_url") == F.col("current"), F.lit(False))
-    ended = F.when(faulty | missing, F.lit("error")).otherwise(F.col("next_kind"))
+    ended = F.when(faulty | missing, F.lit("error")).otherwise(_kind(rules_given, "next_"))
     node = _node(mark, F.col("current"))
     target = F.coalesce(_node(mark, F.col("next_url")), node)
     kind = F.when(loop, F.lit("error")).otherwise(ended)
@@ -175,11 +178,11 @@ def _first_jumps(side: Side, mark: int, heads: DataFrame, found: dict, hot_rows:
         node.alias("node"),
         target.alias("target"),
         kind.alias("kind"),
-        F.when(~faulty & ~loop, F.col("next_code")).alias("http_code"),
+        F.when(~faulty & ~loop, F.col("next_http_code")).alias("http_code"),
         F.when(loop, F.lit(TOO_MANY))
         .when(faulty, F.col("fault"))
         .when(missing, F.lit("no capture"))
-        .otherwise(F.col("next_error"))
+        .otherwise(_fault(rules_given, "next_"))
         .alias("error"),
         F.lit(1).alias("hops"),
         loop.alias("is_cycle"),
@@ -279,7 +282,9 @@ def _ends(first: DataFrame, hops: int, hot_rows: int) -> tuple[DataFrame, int, i
     return out.drop("path"), sum(c["rows"] for c in counts), sum(c["bytes"] for c in counts)
 
 
-def _resolved(sides: list[Side], heads: DataFrame, max_depth: int, hot_rows: int) -> DataFrame:
+def _resolved(
+    sides: list[Side], heads: DataFrame, found: dict | None, max_depth: int, hot_rows: int
+) -> DataFrame:
     """The results of all sides, with a column ``side``; their jumps are doubled together."""
     begun = reduce(DataFrame.unionByName, [_begun(side, mark) for mark, side in enumerate(sides)])
     none = F.lit(None).cast("string")
@@ -289,7 +294,8 @@ def _resolved(sides: list[Side], heads: DataFrame, max_depth: int, hot_rows: int
             "error": F.lit(TOO_MANY), "is_cycle": F.lit(False), "platform": none,
         })
     else:
-        heads, found = stored(heads)
+        if found is None:
+            heads, found = stored(heads)
 
         def still(side: Side, mark: int) -> DataFrame:
             own = _nodes(heads, side.index is not None)
@@ -343,11 +349,12 @@ def resolve_redirects(
     max_depth: int = 10,
     static_platform: str | None = None,
     hot_rows: int = HOT_ROWS,
+    size: dict | None = None,
 ) -> DataFrame:
     """Final response of each start URL.
 
     ``starts`` has ``start_url`` and, optionally, ``platform``; ``heads`` comes
-    from :func:`capture_heads`. With an
+    from :func:`capture_heads`, with their ``size`` if they were :func:`stored` already. With an
     ``index`` every Location is rewritten by the rules before it is followed,
     and ``rulesets`` gives the platform of the rule set that did it; otherwise
     the start's platform holds again. At most ``max_depth`` captures are read.
@@ -361,7 +368,7 @@ def resolve_redirects(
     gives one row; a redirect that cannot be followed ends it as an error.
     """
     side = Side(starts, index, rulesets, static_platform)
-    return _resolved([side], heads, max_depth, hot_rows).drop("side")
+    return _resolved([side], heads, size, max_depth, hot_rows).drop("side")
 
 
 def resolve_both(
@@ -369,7 +376,7 @@ def resolve_both(
 ) -> tuple[tuple[DataFrame, dict], tuple[DataFrame, dict]]:
     """:func:`resolve_redirects` of two sides in one pass. Both results are stored; each comes
     with the rows and bytes of the two together."""
-    table, found = stored(_resolved([plain, rewritten], heads, max_depth, hot_rows), "side")
+    table, found = stored(_resolved([plain, rewritten], heads, None, max_depth, hot_rows), "side")
     first, second = (table.filter(F.col("side") == mark).drop("side") for mark in (0, 1))
     return (first, found), (second, found)
 

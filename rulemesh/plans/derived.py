@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulemesh.functions.patterns import java_template
 from rulemesh.functions.urls import host_key
@@ -32,8 +33,15 @@ EXTRA_RULES = r"""
     AS t(ruleset_id, pos, from_pattern, to_template)"""
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/pages.parquet")
+    """The table; its schema is read from the files once an application."""
+    known, path = (spark.sparkContext.applicationId, folder), f"{folder}/pages.parquet"
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
 
 
 def with_site(urls: DataFrame) -> DataFrame:

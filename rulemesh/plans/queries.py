@@ -23,6 +23,7 @@ from rulemesh.operators import certs as cert_ops
 from rulemesh.operators import compare, coverage, redirects, report, rewrite
 from rulemesh.operators import corpus as corpus_ops
 from rulemesh.operators.index import build_rule_index
+from rulemesh.operators.joins import stored
 from rulemesh.plans import check, derived
 from rulemesh.session import cut_lineage, shared_folder, ship_package
 from rulemesh.sources import captures as captures_source
@@ -297,12 +298,10 @@ def pair_captures(spark, folder):
 
 def resolve_redirects(spark, folder):
     tables = derived.corpus(spark, folder)
-    heads = redirects.capture_heads(derived.captures(spark, folder))
+    heads, size = stored(redirects.capture_heads(derived.captures(spark, folder)))
+    index = build_rule_index(tables)
     return redirects.resolve_redirects(
-        heads.select(col("url").alias("start_url")),
-        heads,
-        build_rule_index(tables),
-        tables.rulesets,
+        heads.select(col("url").alias("start_url")), heads, index, index.platforms, size=size
     ).select("start_url", "final_url", "http_code", "hops", "error", "is_cycle", "platform")
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, fits_broadcast, keyed_join
-from rulemesh.session import cut_lineage
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
-# A digest as text, with what a row costs.
-DIGEST_BYTES = 96
+from rulemesh.operators.joins import BROADCAST_BYTES, HOT_ROWS, key_profile, keyed_join, stored
+from rulemesh.session import shared_folder
 
 
 def unique_certs(source: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -27,43 +26,85 @@ def unique_certs(source: DataFrame, exclude: DataFrame | None = None) -> DataFra
     return first.join(taken, "der_sha256", "left_anti")
 
 
+def _bucketed(edges: DataFrame, buckets: int, *columns: str) -> tuple[DataFrame, str, int]:
+    """``edges`` written once, dealt out by ``columns``; a join on these does not move them again.
+
+    The table is registered under a name of its own, since Spark keeps the dealing of files
+    for named tables only. Returns the table, its name and its number of rows.
+    """
+    spark = edges.sparkSession
+    name = f"rulemesh_edges_{uuid.uuid4().hex}"
+    observed = Observation()
+    (
+        edges.observe(observed, F.count(F.lit(1)).alias("rows"))
+        .repartition(buckets, *columns)
+        .write.bucketBy(buckets, *columns)
+        .sortBy(*columns)
+        .option("path", f"{shared_folder(spark)}/{name}")
+        .saveAsTable(name)
+    )
+    return spark.table(name), name, observed.get.get("rows") or 0
+
+
 def trusted_closure(
-    roots: DataFrame, candidates: DataFrame, issues: DataFrame, hot_rows: int = HOT_ROWS
+    roots: DataFrame, candidates: DataFrame, issues: DataFrame, hot_rows: int = HOT_ROWS, buckets: int | None = None
 ) -> DataFrame:
     """``der_sha256, round``: roots (round 0) and candidates reached from them.
 
     ``issues(issuer_sha256, subject_sha256)`` says which certificate validates
     under which. In every round the subjects issued by the last round's certificates
-    join the set, until a round adds none. The edges shrink: those of issuers that
-    were followed and those to subjects that are trusted already are taken out, so a round
-    costs what is left, and the trusted set is never read again. An issuer of very many
-    subjects is spread over tasks.
+    join the set, until a round adds none. The edges to candidates are written once, dealt out by issuer; in a round only
+    the last certificates move to them (or are sent, where they were measured to fit), and one
+    aggregation with the trusted ones keeps the first round of each. An issuer of very many
+    subjects is spread over several buckets, to each of which it is sent.
     """
+    spark = issues.sparkSession
     subjects = candidates.select(F.col("der_sha256").alias("subject_sha256"))
-    first = cut_lineage(roots.select("der_sha256").distinct())
-    edges = keyed_join(
-        issues.select("issuer_sha256", "subject_sha256"),
+    subjects, found = stored(subjects)
+    known_edges = keyed_join(
+        issues.select("issuer_sha256", "subject_sha256").filter(F.col("issuer_sha256").isNotNull()),
         subjects,
         "subject_sha256",
         "left_semi",
-        fits=fits_broadcast(subjects),
+        fits=found["bytes"] <= BROADCAST_BYTES,
         hot_rows=hot_rows,
     )
-    known = first.select(F.col("der_sha256").alias("subject_sha256"))
-    few = first.count() * DIGEST_BYTES <= BROADCAST_BYTES
-    edges = cut_lineage(keyed_join(edges, known, "subject_sha256", "left_anti", fits=few, hot_rows=hot_rows))
-    trusted = first.withColumn("round", F.lit(0))
-    frontier, step = first, 0
-    while True:
-        step += 1
-        issuers = frontier.select(F.col("der_sha256").alias("issuer_sha256"))
-        reached = keyed_join(edges, issuers, "issuer_sha256", "left_semi", fits=few, hot_rows=hot_rows)
-        frontier = cut_lineage(reached.select(F.col("subject_sha256").alias("der_sha256")).distinct())
-        added = frontier.count()  # from the files' footers
-        if added == 0:
-            return trusted
-        trusted = trusted.unionByName(frontier.withColumn("round", F.lit(step)))
-        rest = keyed_join(edges, issuers, "issuer_sha256", "left_anti", fits=few, hot_rows=hot_rows)
-        few = added * DIGEST_BYTES <= BROADCAST_BYTES
-        known = frontier.select(F.col("der_sha256").alias("subject_sha256"))
-        edges = cut_lineage(keyed_join(rest, known, "subject_sha256", "left_anti", fits=few, hot_rows=hot_rows))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys, names = ["issuer_sha256"], []
+    try:
+        edges, name, rows = _bucketed(known_edges, buckets, *keys)
+        names.append(name)
+        # No issuer can be hot where all edges together are not; counting them moves nothing.
+        hot = key_profile(edges, "issuer_sha256", hot_rows).fanouts if rows > hot_rows else ()
+        parts = spark.createDataFrame(list(hot), "issuer_sha256 string, parts int")
+
+        def with_parts(df: DataFrame) -> DataFrame:
+            joined = df.join(F.broadcast(parts), "issuer_sha256", "left")
+            return joined.withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+        if hot:
+            keys.append("part")
+            part = F.pmod(F.xxhash64("subject_sha256"), F.col("parts")).cast("int").alias("part")
+            dealt = with_parts(edges).select("issuer_sha256", part, "subject_sha256")
+            edges, name, _ = _bucketed(dealt, buckets, *keys)
+            names.append(name)
+        first, added = stored(roots.select("der_sha256").distinct().withColumn("round", F.lit(0)))
+        rounds = [first]
+        while added["rows"]:
+            trusted = reduce(DataFrame.unionByName, rounds)
+            issuers = rounds[-1].select(F.col("der_sha256").alias("issuer_sha256"))
+            if hot:
+                every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+                issuers = with_parts(issuers).select("issuer_sha256", every)
+            if added["bytes"] <= BROADCAST_BYTES:
+                issuers = F.broadcast(issuers)
+            reached = edges.join(issuers, keys, "left_semi").select(
+                F.col("subject_sha256").alias("der_sha256"), F.lit(len(rounds)).alias("round")
+            )
+            firsts = trusted.unionByName(reached).groupBy("der_sha256").agg(F.min("round").alias("round"))
+            frontier, added = stored(firsts.filter(F.col("round") == len(rounds)))
+            rounds.append(frontier)
+        return reduce(DataFrame.unionByName, rounds)
+    finally:
+        for name in names:  # the names; the files go with the shared folder
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -36,14 +36,19 @@ EXTRA_RULES = r"""
 _schemas: dict[tuple[str, str], T.StructType] = {}
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The table; its schema is read from the files once an application."""
-    known, path = (spark.sparkContext.applicationId, folder), f"{folder}/pages.parquet"
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; its schema is read from the files once an application."""
+    path = f"{folder}/{name}.parquet"
+    known = spark.sparkContext.applicationId, path
     if known not in _schemas:
         _schemas[known] = spark.read.parquet(path).schema
     return spark.read.schema(_schemas[known]).parquet(path)
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages")
+
+
 def with_site(urls: DataFrame) -> DataFrame:
     """Adds ``host`` and ``site``, its last three labels."""
     hosted = urls.withColumn("host", host_key(F.col("url")))
@@ -292,7 +297,7 @@ def flawed_corpus(spark: SparkSession, folder: str) -> Corpus:
 
 def certs(spark: SparkSession, folder: str) -> DataFrame:
     """A certificate file per customer; many have the same content."""
-    customer = spark.read.parquet(f"{folder}/customer.parquet")
+    customer = table(spark, folder, "customer")
     key = F.col("c_custkey")
     der = F.concat_ws(":", F.col("c_mktsegment"), F.col("c_nationkey").cast("string"))
     return customer.select(
@@ -318,7 +323,7 @@ def issues(spark: SparkSession, folder: str) -> DataFrame:
     """Issuer edges: region to nation to supplier to order to customer."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return table(spark, folder, name)
 
     def edges(df: DataFrame, up: Column, down: Column) -> DataFrame:
         return df.select(up.alias("issuer_sha256"), down.alias("subject_sha256"))

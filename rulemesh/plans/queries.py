@@ -35,8 +35,7 @@ from rulemesh.sources.rulesets import malformed_rulesets, parse_rulesets, wellfo
 col = F.col
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_table = derived.table
 
 
 # --- sources ---------------------------------------------------------------

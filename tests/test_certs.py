@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import random
 
-from rulemesh.operators.certs import trusted_closure, unique_certs
+import pytest
+
+from rulemesh.operators.certs import _bucketed, trusted_closure, unique_certs
 from rulemesh.sources.certs import load_certs, with_digest
 
 
@@ -44,3 +47,40 @@ def test_closure_below_one_large_issuer(spark):
     roots = spark.createDataFrame([("r",)], "der_sha256 string")
     candidates = issues.selectExpr("subject_sha256 AS der_sha256")
     assert trusted_closure(roots, candidates, issues, hot_rows=10).count() == 202
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_closure_of_random_graphs(spark, hot_rows):
+    draw = random.Random(hot_rows)
+    nodes = [f"n{i}" for i in range(120)]
+    edges = [(draw.choice(nodes), draw.choice(nodes)) for _ in range(150)] + [("n0", n) for n in nodes[::4]]
+    edges += [(None, "n1"), ("n1", None), ("n2", "n2")] * 2
+    allowed = set(draw.sample(nodes, 100))
+    expected, frontier, step = {"n0": 0, "n1": 0}, {"n0", "n1"}, 0
+    while frontier:
+        step += 1
+        frontier = {b for a, b in edges if a in frontier and b in allowed and b not in expected}
+        expected.update(dict.fromkeys(frontier, step))
+    issues = spark.createDataFrame(edges, "issuer_sha256 string, subject_sha256 string")
+    roots = spark.createDataFrame([("n0",), ("n1",), ("n0",)], "der_sha256 string")
+    candidates = spark.createDataFrame([(n,) for n in sorted(allowed)] * 2, "der_sha256 string")
+    tables = len(spark.catalog.listTables())
+    got = [(r.der_sha256, r["round"]) for r in trusted_closure(roots, candidates, issues, hot_rows).collect()]
+    assert len(got) == len(expected) and dict(got) == expected
+    assert len(spark.catalog.listTables()) == tables
+    assert trusted_closure(roots.limit(0), candidates, issues).count() == 0
+
+
+def test_edges_do_not_move_in_a_round(spark):
+    issues = spark.range(2000).selectExpr("CAST(id % 50 AS STRING) AS issuer_sha256", "CAST(id % 2 AS INT) AS part", "CAST(id AS STRING) AS subject_sha256")
+    edges, name, rows = _bucketed(issues, 6, "issuer_sha256", "part")
+    frontier = spark.range(9).selectExpr("CAST(id AS STRING) AS issuer_sha256", "CAST(id % 2 AS INT) AS part").hint("merge")
+    joined = edges.join(frontier, ["issuer_sha256", "part"], "left_semi")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert (rows, joined.count()) == (2000, 9 * 40)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the frontier alone
+    spark.sql(f"DROP TABLE {name}")

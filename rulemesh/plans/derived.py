@@ -322,7 +322,7 @@ def node(kind: str, key: Column) -> Column:
 def issues(spark: SparkSession, folder: str) -> DataFrame:
     """Issuer edges: region to nation to supplier to order to customer."""
 
-    def table(name: str) -> DataFrame:
+    def own(name: str) -> DataFrame:
         return table(spark, folder, name)
 
     def edges(df: DataFrame, up: Column, down: Column) -> DataFrame:
@@ -330,14 +330,14 @@ def issues(spark: SparkSession, folder: str) -> DataFrame:
 
     c = F.col
     return (
-        edges(table("nation"), node("region", c("n_regionkey")), node("nation", c("n_nationkey")))
+        edges(own("nation"), node("region", c("n_regionkey")), node("nation", c("n_nationkey")))
         .unionByName(
-            edges(table("supplier"), node("nation", c("s_nationkey")), node("supplier", c("s_suppkey")))
+            edges(own("supplier"), node("nation", c("s_nationkey")), node("supplier", c("s_suppkey")))
         )
         .unionByName(
-            edges(table("lineitem"), node("supplier", c("l_suppkey")), node("order", c("l_orderkey")))
+            edges(own("lineitem"), node("supplier", c("l_suppkey")), node("order", c("l_orderkey")))
         )
         .unionByName(
-            edges(table("orders"), node("order", c("o_orderkey")), node("customer", c("o_custkey")))
+            edges(own("orders"), node("order", c("o_orderkey")), node("customer", c("o_custkey")))
         )
     )

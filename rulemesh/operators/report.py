@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemesh.operators.joins import fits_broadcast, keyed_join
@@ -100,6 +100,30 @@ def json_document(results: DataFrame, coverage: DataFrame) -> DataFrame:
     return frame.unionByName(openings).unionByName(body)
 
 
+# What may stand before the root element, one attribute, and the start tag of a rule set. Possessive throughout:
+# nothing is tried twice, however long a file is.
+_PROLOG = r"\uFEFF?(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*+(?:\[.*?\]\s*+)?>)*+"
+_NAME, _VALUE = r"[^\s=<>/\"']++", r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+')"
+_ATTRIBUTES = rf"(?:\s++{_NAME}{_VALUE})*+"
+_START = rf"(?s)^({_PROLOG}<ruleset)({_ATTRIBUTES})"
+_DECLARATION = r"(?s)^\uFEFF?<\?xml\s.*?\?>\s*"
+
+
+def _switched_off(attributes: Column) -> Column:
+    """Whether ``default_off`` is among the attributes; quoted values are no attributes."""
+    values_gone = F.regexp_replace(attributes, r"\"[^\"]*+\"|'[^']*+'", "")
+    return F.rlike(values_gone, F.lit(r"\sdefault_off\s*="))
+
+
+def _marked(content: Column) -> Column:
+    """The file with ``default_off`` added after its rule set's own attributes. An XML declaration, which has
+    to come first in a file, is left out: the text is written as UTF-8."""
+    head, attributes = F.regexp_extract(content, _START, 1), F.regexp_extract(content, _START, 2)
+    rest = F.substr(content, F.length(head) + F.length(attributes) + 1)
+    added = F.concat(head, attributes, F.lit(f" default_off='{DISABLED_TEXT}'"), rest)
+    return F.regexp_replace(F.when(head == "", content).otherwise(added), _DECLARATION, "")
+
+
 def disable_failing(
     files: DataFrame, problems: DataFrame, tool: str = "rule checker"
 ) -> DataFrame:
@@ -108,24 +132,21 @@ def disable_failing(
     ``files`` has ``ruleset_id, content``, ``problems`` has ``ruleset_id,
     message``. Part 0 opens the comment, part 1 holds one row per problem and
     part 2 is the file, marked ``default_off``, from inside its first comment.
-    Rule sets that are disabled already are left out. A rule set may have any
+    Rule sets whose start tag names ``default_off`` already, with whatever text, are left out. A rule set may have any
     number of problems: nothing is gathered.
     """
-    enabled = files.filter(~F.col("content").rlike(r"\bdefault_off="))
-    failing = enabled.join(
-        problems.select("ruleset_id").distinct(), "ruleset_id", "left_semi"
-    )
-    marked = F.regexp_replace(
-        "content", r"(<ruleset [^>]*)>", f"$1 default_off='{DISABLED_TEXT}'>"
-    )
+    enabled = files.filter(~_switched_off(F.regexp_extract("content", _START, 2)))
+    ids = problems.select("ruleset_id").distinct()
+    failing = enabled.join(ids, "ruleset_id", "left_semi")
+    marked = _marked(F.col("content"))
     rest = F.when(marked.startswith("<!--"), F.substring(marked, F.lit(5), F.length(marked)))
     opening = failing.select(
         "ruleset_id",
         F.lit(0).alias("part"),
         F.lit(DISABLED_OPENING % tool).alias("text"),
     )
-    ids = failing.select("ruleset_id")
-    listed = keyed_join(problems, ids, "ruleset_id", "left_semi", fits=fits_broadcast(ids)).select(
+    own = failing.select("ruleset_id")
+    listed = keyed_join(problems, own, "ruleset_id", "left_semi", fits=fits_broadcast(own)).select(
         "ruleset_id",
         F.lit(1).alias("part"),
         F.replace("message", F.lit("--"), F.lit("- -")).alias("text"),

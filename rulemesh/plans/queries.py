@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemesh.functions.errors import error_category as category_of
@@ -28,8 +28,9 @@ from rulemesh.plans import check, derived
 from rulemesh.session import cut_lineage, shared_folder, ship_package
 from rulemesh.sources import captures as captures_source
 from rulemesh.sources import sinks
-from rulemesh.sources.certs import with_digest
+from rulemesh.sources.certs import load_certs, with_digest
 from rulemesh.sources.lists import parse_skiplist, parse_url_list
+from rulemesh.sources.rulesets import load_rulesets as load_rulesets_files
 from rulemesh.sources.rulesets import malformed_rulesets, parse_rulesets, wellformed_rulesets
 
 col = F.col
@@ -402,6 +403,58 @@ def append_results(spark, folder):
     return spark.read.schema(results.schema).parquet(path)
 
 
+def disabled_files(spark, folder):
+    """The disabled rule sets written as files; their lines read back."""
+    path = f"{shared_folder(spark)}/disabled-{uuid.uuid4().hex}"
+    _, _, pairs = _run(spark, folder)
+    failures = compare.verdict(pairs).filter("returned").select(col("fname").alias("ruleset_id"), "message")
+    sinks.write_disabled(derived.ruleset_files(spark, folder), failures, path)
+    return spark.read.schema("value string, ruleset_id string").text(path).select("ruleset_id", "value")
+
+
+def _as_files(files: DataFrame, key: str, content: str) -> str:
+    """Writes each row as a text file in a folder of its own."""
+    path = f"{shared_folder(files.sparkSession)}/files-{uuid.uuid4().hex}"
+    written = files.select(col(key).alias("file"), col(content).alias("value")).repartition("file")
+    written.write.partitionBy("file").text(path)
+    return path
+
+
+def _file_name(path: Column) -> Column:
+    return F.regexp_extract(path, "file=([^/]+)/", 1)
+
+
+def ruleset_folder(spark, folder):
+    """Rule sets read from the files of a folder, with what their parsed text says."""
+    path = _as_files(derived.ruleset_files(spark, folder), "ruleset_id", "content")
+    parsed = parse_rulesets(load_rulesets_files(spark, path, "part-*"))
+    return wellformed_rulesets(parsed).select(
+        _file_name(col("ruleset_id")).alias("ruleset_id"),
+        "file_sha256",
+        col("ruleset._name").alias("name"),
+        F.size("ruleset.rule").alias("n_rules"),
+    )
+
+
+def ruleset_file_list(spark, folder):
+    """The same files named one by one, by a list with wildcards."""
+    path = _as_files(derived.ruleset_files(spark, folder), "ruleset_id", "content")
+    loaded = load_rulesets_files(spark, [f"{path}/file=*/part-*"])
+    return loaded.select(_file_name(col("ruleset_id")).alias("ruleset_id"), "file_sha256", "content")
+
+
+def load_certs_query(spark, folder):
+    """A file of each distinct content among the customers' certificates, read back with the digest of
+    what it holds; some are named symbolic links."""
+    contents = derived.certs(spark, folder).groupBy("pem").agg(F.min(F.substring_index("path", "/", -1)).alias("path"))
+    path = _as_files(contents, "path", "pem")
+    linked = F.regexp_extract("path", "file=([0-9]+)", 1).cast("int") % 5 == 0
+    links = load_certs(spark, path, pattern="part-*").select("path").filter(linked)
+    return with_digest(load_certs(spark, path, links, "part-*")).select(
+        _file_name(col("path")).alias("path"), "is_symlink", "der_sha256", "error"
+    )
+
+
 def verdict(spark, folder):
     _, _, pairs = _run(spark, folder)
     return compare.verdict(pairs).select("result", "details", "fname", "url", "https_url")
@@ -502,5 +555,9 @@ QUERIES = {
     "novelty_distance": novelty_distance,
     "big_distance": big_distance,
     "disable_failing": disable_failing,
+    "disabled_files": disabled_files,
+    "ruleset_folder": ruleset_folder,
+    "ruleset_file_list": ruleset_file_list,
+    "load_certs": load_certs_query,
     "corpus_lint": corpus_lint,
 }

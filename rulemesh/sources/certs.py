@@ -10,14 +10,14 @@ _BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
 
 def load_certs(
-    spark: SparkSession, path: str, symlinks: DataFrame | None = None
+    spark: SparkSession, path: str, symlinks: DataFrame | None = None, pattern: str = "*.pem"
 ) -> DataFrame:
-    """``path, is_symlink, pem`` of every ``*.pem`` file.
+    """``path, is_symlink, pem`` of every file whose name fits ``pattern``.
 
     The reader cannot tell symbolic links, so ``symlinks(path)`` may name them.
     """
     files = (
-        spark.read.option("pathGlobFilter", "*.pem")
+        spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("pem"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ def _text(content: Column) -> Column:
     )
 
 
-def load_rulesets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per XML file of a directory, or per file of an explicit list, whatever its name.
+def load_rulesets(spark: SparkSession, paths: str | list[str], pattern: str = "*.xml") -> DataFrame:
+    """One row per file of a directory whose name fits ``pattern``, or per file of an explicit list (whose
+    entries may hold wildcards), whatever its name.
 
     Columns ``ruleset_id`` (the file's path below the directory, or below the folder that
     all listed files share), ``file_sha256`` (of the raw bytes) and ``content`` (the text, NULL where
@@ -40,9 +42,11 @@ def load_rulesets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     reader = spark.read.format("binaryFile")
     if isinstance(paths, str):
-        reader, root = reader.option("pathGlobFilter", "*.xml"), paths
+        reader, root = reader.option("pathGlobFilter", pattern), paths
     else:
-        root = posixpath.commonpath([posixpath.dirname(p) for p in paths])
+        # Above the first part with a wildcard.
+        folders = [re.split(r"/[^/]*[*?\[{]", p, maxsplit=1) for p in paths]
+        root = posixpath.commonpath([f[0] if len(f) > 1 else posixpath.dirname(f[0]) for f in folders])
     root = f"{root.split('://', 1)[-1].removeprefix('file:').strip('/')}/"
     below = F.expr("substring(path, locate(:root, path) + length(:root))".replace(":root", _quoted(root)))
     base = F.substring_index("path", "/", -1)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import xml.etree.ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,37 @@ def test_json_of_equal_rows_and_no_rows(spark):
     quoted = spark.createDataFrame([('say "x"\n',)], "message string")
     assert whole(twice.limit(0), quoted) == {"coverage": ['say "x"\n']}
     assert json_lines(twice, quoted).count() == 3
+
+
+def disabled(spark, content):
+    files = spark.createDataFrame([("a.xml", content)], "ruleset_id string, content string")
+    problems = spark.createDataFrame([("a.xml", "bad")], "ruleset_id string, message string")
+    lines = disable_failing(files, problems).orderBy("part", "text").collect()
+    return "\n".join(r.text for r in lines) if lines else None
+
+
+@pytest.mark.parametrize("content", [
+    "<ruleset\n name='x'\n>\n</ruleset>",
+    "<ruleset name='a>b'></ruleset>",
+    "<ruleset name = \"it's\"\tplatform='c > d'/>",
+    "<!-- default_off=\"no\" <ruleset name='c' default_off='x'> -->\n<ruleset name='x'><!-- default_off='y' --></ruleset>",
+    "<ruleset></ruleset>",
+    "<ruleset/>",
+    "﻿<?xml version='1.0' encoding='UTF-16'?>\n<!-- a --><!-- b -->\n<ruleset name='x'>\n</ruleset>",
+    "<?xml version='1.0'?><!DOCTYPE ruleset [<!ENTITY e '>'>]><ruleset f='x default_off=\"1\"' name='n'></ruleset>",
+    "  \n" * 5000 + "<ruleset name='x'>" + "<rule from='a' to='b'/>" * 5000 + "</ruleset>",
+])
+def test_disabled_files_are_disabled(spark, content):
+    text = disabled(spark, content)
+    root = xml.etree.ElementTree.fromstring(text.strip())
+    before = xml.etree.ElementTree.fromstring(content.removeprefix("﻿").replace(" encoding='UTF-16'", "").strip())
+    assert root.tag == "ruleset" and root.attrib.pop("default_off") == "failed ruleset test"
+    assert root.attrib == before.attrib and len(root) == len(before)
+    assert disabled(spark, text) is None  # once
+
+
+@pytest.mark.parametrize("content", [
+    "<ruleset name='x' default_off='why'/>", "<ruleset default_off=''></ruleset>", "<!-- c --><ruleset\n default_off = \"a 'quoted' one\"\n name='x'></ruleset>",
+])
+def test_switched_off_files_are_left_out(spark, content):
+    assert disabled(spark, content) is None

@@ -37,10 +37,11 @@ from rulemesh.llm.common import batch_slices, fresh, powers, prefix_hash
 #: Bytes that decide whether a chunk ends, and the usual length of a chunk (2 ** 9 bytes).
 WINDOW = 16
 CHUNK_BITS = 9
-#: Bounds of a worker's stores.
-MAX_WORDS = 500_000
-MAX_CHUNK_BYTES = 16 << 20
-MAX_SEEN = 200_000
+#: Bounds of a worker's stores, in bytes with what Python adds to an entry.
+WORD_BYTES = 64 << 20
+CHUNK_BYTES = 8 << 20
+ENTRY_BYTES = 160
+MAX_SEEN = 100_000
 
 _SPACE = b" \t\n\r\x0b\x0c"
 
@@ -74,22 +75,41 @@ def _drops_space(spec: dict) -> bool:
 #: Lower-case letters that no normalization changes, and marks that may end a word.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _MARKS = b".,!?:;|"
+# Alternatives of a pattern that puts letters, single digits and other marks into words
+# apart, with what they are for lower-case ASCII without white space; and English endings.
+_APART = {"[\\p{L}]+": "[a-z]+", "[\\p{N}]": "[0-9]", "[^\\s\\p{L}\\p{N}]+": "[^a-z0-9]+"}
+_ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_PRINTED = re.compile(b"[!-@\\[-~]+")
+
+
+def ascii_words(spec: dict) -> re.Pattern[bytes] | None:
+    """The declared pattern for lower-case ASCII without white space; None if it has an alternative that might
+    hold letters together with marks, besides English endings."""
+    step = spec["pre_tokenizer"]
+    pattern = step.get("pretokenizers", [step])[0]["pattern"]["Regex"]
+    alternatives = re.split(r"(?<!\\)\|", pattern)
+    if not set(_APART) <= set(alternatives) or not set(alternatives) <= {*_APART, *_ENDINGS}:
+        return None
+    return re.compile("|".join(_APART.get(x, x) for x in alternatives).encode())
 
 
 class _Words(dict):
     """Ids of words as little-endian 32-bit numbers; a word not known is encoded. Words not met
     for a while are given up.
 
-    A word of plain letters goes to the tokenizer's model at once, since normalization and the
-    splitting into words would leave it as it is; probes compare that with the whole
-    tokenizer first, and a tokenizer that differs gets every word whole.
+    A word of plain letters or marks goes to the tokenizer's model at once, since normalization and the
+    splitting into words would leave it as it is; other words of ASCII are split as the pattern does. Both hold for
+    tokenizers whose declared pattern keeps letters and marks apart; probes compare with the whole
+    tokenizer too. Any other tokenizer gets every word whole.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, split: re.Pattern[bytes] | None, added: list[bytes], most_bytes: int):
         super().__init__()
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = tokenizer
+        self.added = added  # how added tokens begin
+        self.bytes, self.most_bytes = 0, most_bytes
         self.model = tokenizer.model
         self.older: dict[bytes, bytes] = {}
         self.raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
@@ -98,7 +118,9 @@ class _Words(dict):
         self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
         letters += [chr(c) for c in range(97, 123)]
         probes = [c * k + "ing" for c in letters for k in (1, 2)] + ["stra\u00dfe", "se\u00f1or", "\u00e9l\u00e8ve"]
-        self.plain = all(self._plain(w) == self._whole(w) for w in probes)
+        probes += ["!", "?!", "...", "7", "--", "()", "@", "~", "'s", "'", "\\", "_", "[]", "{", "^"]
+        self.split = split
+        self.plain = split is not None and all(self._plain(w) == self._whole(w) for w in probes)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -107,24 +129,33 @@ class _Words(dict):
         mapped = word if word.isascii() else word.translate(self.as_bytes)
         return b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
 
+    def _unknown(self, word: bytes) -> bytes:
+        if not self.plain or any(mark in word for mark in self.added):
+            return self._whole(word.decode("utf-8", "replace"))
+        if _PRINTED.fullmatch(word):
+            parts = self.split.findall(word)
+            return self._plain(parts[0].decode()) if len(parts) == 1 else b"".join([self[p] for p in parts])
+        core = word.rstrip(_MARKS)
+        if core != word and core and 97 <= core[-1] <= 122:
+            return self[core] + self[word[len(core) :]]  # marks after a letter stand by themselves
+        text = word.decode("utf-8", "replace")
+        return self._plain(text) if _PLAIN.fullmatch(text) else self._whole(text)
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            core = word.rstrip(_MARKS)
-            if self.plain and core != word and core and 97 <= core[-1] <= 122:
-                ids = self[core] + self[word[len(core) :]]  # marks after a letter stand by themselves
-            else:
-                text = word.decode("utf-8", "replace")
-                ids = self._plain(text) if self.plain and _PLAIN.fullmatch(text) else self._whole(text)
-        if len(self) >= MAX_WORDS // 2:
+            ids = self._unknown(word)
+        self.bytes += len(word) + len(ids) + ENTRY_BYTES
+        if self.bytes > self.most_bytes // 2:
             self.older = dict(self)
             self.clear()
+            self.bytes = len(word) + len(ids) + ENTRY_BYTES
         self[word] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, word_bytes: int = WORD_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -137,7 +168,7 @@ class Encoder:
         lower = (parsed.get("normalizer") or {}).get("normalizers", [])
         self.lowers = any(step.get("type") == "Lowercase" for step in lower)
         self.added = [t["content"].encode()[:2] for t in parsed.get("added_tokens") or []]
-        self.words = _Words(self.tokenizer)
+        self.words = _Words(self.tokenizer, ascii_words(parsed), self.added, word_bytes)
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         self.chunk_bytes = 0
         self.seen: set[int] = set()
@@ -155,7 +186,7 @@ class Encoder:
         found = head, b"".join(map(self.words.__getitem__, words)), tail
         mark = hash(chunk)
         if mark in self.seen:
-            if self.chunk_bytes > MAX_CHUNK_BYTES:
+            if self.chunk_bytes > CHUNK_BYTES:
                 self.chunks.clear()
                 self.chunk_bytes = 0
             self.chunks[chunk] = found
@@ -224,15 +255,15 @@ class Decoder:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_made: dict[tuple[str, str], object] = {}
+_made: dict[str, tuple[str, object]] = {}
 
 
-def worker(kind: type, spec: str):
-    """The encoder or decoder of this process; its stores outlive a task."""
-    key = kind.__name__, hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _made:
-        _made[key] = kind(spec)
-    return _made[key]
+def worker(kind: type, spec: str, *options: int):
+    """The encoder or decoder of this process; its stores outlive a task. One of each kind is kept."""
+    digest = hashlib.sha256(f"{options} {spec}".encode()).hexdigest()
+    if _made.get(kind.__name__, ("",))[0] != digest:
+        _made[kind.__name__] = digest, kind(spec, *options)
+    return _made[kind.__name__][1]
 
 
 def id_lists(encoded: list[bytes]) -> pa.Array:
@@ -284,9 +315,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "decoded
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def round_trips(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def round_trips(docs: DataFrame, path: str, with_ids: bool = False, word_bytes: int = WORD_BYTES) -> DataFrame:
     """``docs`` without ``text`` but with n_tokens, ids_sha256 and decoded_sha256 (and
-    ``ids`` if wanted), encoded and decoded in one pass."""
+    ``ids`` if wanted), encoded and decoded in one pass. ``word_bytes`` bounds a worker's store of words."""
     sent = _send(docs.sparkSession, path)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kept = docs.drop(*names)
@@ -295,7 +326,7 @@ def round_trips(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame
     kept = kept.select(*(F.col(f"`{c}`") for c in others), F.col("text").alias(text))
 
     def run(batches):
-        encoder, decoder = worker(Encoder, sent.value), worker(Decoder, sent.value)
+        encoder, decoder = worker(Encoder, sent.value, word_bytes), worker(Decoder, sent.value)
         for whole in batches:
             for batch, data, offsets in batch_slices(whole, text):
                 encoded = list(encoder.encode_slice(data, offsets))

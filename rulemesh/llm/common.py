@@ -8,6 +8,7 @@ whatever the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (_BASE, pow(_BASE, -1, 1 << 64))
+KEPT_POWERS = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -112,15 +115,27 @@ def distinct(keys: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse, modulo 2**64."""
+    if n > KEPT_POWERS:  # those of a very long text are not kept
+        return tuple(_cumulated(base, n) for base in _BASES)
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+        _powers[:] = [_cumulated(base, KEPT_POWERS) for base in _BASES]
     return _powers[0][:n], _powers[1][:n]
 
 
+def _cumulated(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def give_back() -> None:
+    """Returns what this process no longer uses to the machine, at the end of a stage's work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """``out[e] - out[s]`` times the inverse power of ``s`` is the hash of ``data[s:e]``."""
     out = np.zeros(len(data) + 1, np.uint64)

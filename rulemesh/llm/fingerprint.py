@@ -19,11 +19,12 @@ text; null ids come last. A single text is its own successor. Further columns ar
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulemesh.llm.common import SLICE_BYTES, batch_slices, distinct, mixed, powers
@@ -198,7 +199,7 @@ def _stream(batches):
 
 def _borders(batches):
     """The first and the last row of a range."""
-    part, first, last = TaskContext.get().partitionId(), None, None
+    part, first, last = TaskContext.get().partitionId(), None, None  # tasks are numbered as the ranges are
     for rows in _rows(batches):
         first, last = first or rows[0], rows[-1]
     if first:
@@ -216,13 +217,38 @@ def _finish(batches):
             yield compared(rows, fingerprints(*_joined([t for _, t in rows])))
 
 
+def range_bounds(docs: DataFrame, ranges: int) -> list[int]:
+    """At most ``ranges`` - 1 ids, ascending, that part the documents evenly; any ids would part them rightly."""
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    found = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 20 * ranges))).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """The number of bounds above ``doc_id``, for null all of them: higher ids get lower numbers. Counted in two
+    steps, over every so manieth bound and over those between."""
+    step = max(1, math.isqrt(len(bounds)))
+    high_first = F.lit(bounds[::-1]).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    above = lambda some: F.size(F.filter(some, lambda b: b > doc_id))
+    coarse = F.lit(bounds[::-1][step - 1 :: step]).cast("array<bigint>") if bounds else high_first
+    first = above(coarse) * step
+    known = first + above(F.slice(high_first, first + 1, F.lit(step)))
+    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(known).cast("int")
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Fingerprints of all texts and of their edited forms, with the likenesses."""
+    """Fingerprints of all texts and of their edited forms, with the likenesses.
+
+    The ranges are fixed before the texts move, so every reading of them, whether it shares a
+    shuffle with another or repeats it, finds the same texts in each.
+    """
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(ranges, F.col("doc_id").desc())
-        .sortWithinPartitions(F.col("doc_id").desc(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    bounds = range_bounds(rows, ranges)
+    ordered = rows.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), bounds)).sortWithinPartitions(
+        F.col("doc_id").desc(), "text"
     )
     inner = ordered.mapInArrow(_stream, RESULT)
     edges = ordered.mapInArrow(

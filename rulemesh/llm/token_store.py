@@ -8,7 +8,7 @@ the document in its file, so lengths and offsets are read without touching the i
 ``doc_id`` reads only the pages that hold it.
 
 Null texts count as empty: the end id alone. Null ids sort first, repeated ids by
-their text; all rows are written. Further columns are not written.
+their encoded ids; all rows are written. Further columns are not written.
 """
 
 from __future__ import annotations
@@ -21,50 +21,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemesh.llm.bpe import Encoder, id_lists, tokenizer_json, worker
+from rulemesh.llm.bpe import Encoder, tokenizer_json, worker
 from rulemesh.llm.common import batch_slices
+from rulemesh.session import cut_lineage
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 500
 SCHEMA = "doc_id long, file_no int, first_in_file long, n_tokens long, ids array<int>"
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, raw): the ids of each text and ``end_id`` as little-endian numbers, of 16 bits where the
+    vocabulary allows it. Texts are encoded where they are read."""
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches):
+        encoder = worker(Encoder, sent.value)
+        kind = id_type(encoder.tokenizer.get_vocab_size(), end_id)
+        for whole in batches:
+            for batch, data, offsets in batch_slices(whole):
+                texts = [x + end for x in encoder.encode_slice(data, offsets)]
+                ids = np.frombuffer(b"".join(texts), "<u4").astype(kind)
+                ends = np.cumsum([0, *(len(x) // 4 for x in texts)]) * ids.itemsize
+                raw = pa.Array.from_buffers(
+                    pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), raw.cast(pa.binary())], names=["doc_id", "raw"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, raw binary")
+
+
+def id_type(vocabulary: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, files: int | None = None) -> None:
     """Writes the ids of ``docs`` (doc_id, text), each followed by ``end_id``, under ``path``.
 
-    The texts are dealt out by ranges of ``doc_id`` and sorted there, so all files of a
-    lower number hold lower ids; each task encodes its range and writes it.
+    The encoded ids are stored, then dealt out by ranges of ``doc_id`` and sorted there, so that
+    all files of a lower number hold lower ids. No text is shuffled.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    kind = id_type(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id)
 
     def run(batches):
-        encoder = worker(Encoder, sent.value)
         file_no, place = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch, data, offsets in batch_slices(whole):
-                encoded = [x + end for x in encoder.encode_slice(data, offsets)]
-                n = np.array([len(x) // 4 for x in encoded], np.int64)
-                first = place + np.cumsum(n) - n
-                place += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(np.full(len(n), file_no, np.int32)),
-                        pa.array(first),
-                        pa.array(n),
-                        id_lists(encoded),
-                    ],
-                    names=["doc_id", "file_no", "first_in_file", "n_tokens", "ids"],
-                )
+        for batch in batches:
+            raw = batch.column("raw").cast(pa.large_binary())
+            width = np.dtype(kind).itemsize
+            ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = raw.buffers()[2]
+            ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None else np.zeros(0, kind)
+            ends = (ends - ends[0]) // width
+            n = np.diff(ends)
+            first = place + np.cumsum(n) - n
+            place += int(n.sum())
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.full(len(n), file_no, np.int32)), pa.array(first), pa.array(n), lists],
+                names=["doc_id", "file_no", "first_in_file", "n_tokens", "ids"],
+            )
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    stored = cut_lineage(encoded(docs, tokenizer, end_id))
+    ordered = stored.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "raw")
     (
         ordered.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")

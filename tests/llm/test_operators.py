@@ -129,6 +129,34 @@ def test_fingerprints(spark, docs):
         assert fingerprints.setdefault(changed, row.edited_fingerprint) == row.edited_fingerprint or row.doc_id == 506
 
 
+def test_fingerprints_need_no_shared_shuffle(spark):
+    docs = spark.range(3000).selectExpr("(id * 7919) % 3000 AS doc_id", "CONCAT('text ', id) AS text").repartition(9)
+    docs = docs.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 'none' AS text"))
+    for reuse, adaptive in (("true", "true"), ("false", "true"), ("false", "false")):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            rows = fingerprint.with_next(docs, 40).collect()
+        finally:
+            spark.conf.set("spark.sql.exchange.reuse", "true")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        order = [*sorted((i for i in texts if i is not None), reverse=True), None]
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i is None, i or 0) for i in order)
+        following = dict(zip(order, [*order[1:], order[0]], strict=True))
+        for row in rows:
+            expected = fingerprint.edited(texts[row.doc_id].encode(), texts[following[row.doc_id]].encode())[1]
+            assert row.edited_sha256 == hashlib.sha256(expected).hexdigest()
+
+
+@pytest.mark.parametrize("bounds", [[], [5], [1, 2], list(range(10, 400, 7))])
+def test_range_of_ids(spark, bounds):
+    ids = [None, -1, *range(0, 420)]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r.doc_id: r.part for r in frame.select("doc_id", fingerprint.range_of(F.col("doc_id"), bounds).alias("part")).collect()}
+    assert got == {i: len(bounds) if i is None else sum(b > i for b in bounds) for i in ids}
+
+
 def test_fingerprint_of_one_text_and_none(spark, nothing):
     (row,) = fingerprint.with_next(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"abab").hexdigest()

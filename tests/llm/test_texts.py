@@ -1,5 +1,6 @@
 """What runs inside tasks, against plain versions: words, spans, encodings, fingerprints, merging."""
 
+import json
 import random
 
 import numpy as np
@@ -145,10 +146,9 @@ def test_encoding_by_chunks_is_that_of_the_whole_text():
 
 
 def test_stores_are_bounded_and_stay_right(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_WORDS", 8)
-    monkeypatch.setattr(bpe, "MAX_CHUNK_BYTES", 2000)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(bpe, "MAX_SEEN", 5)
-    tokenizer, encoder = Tokenizer.from_str(SPEC), bpe.Encoder(SPEC)
+    tokenizer, encoder = Tokenizer.from_str(SPEC), bpe.Encoder(SPEC, 1400)
     draw = random.Random(5)
     for _ in range(40):
         text = " ".join(draw.choices(["alpha", "beta.", "gamma,", "delta", "été", "x1"], k=400))
@@ -158,6 +158,40 @@ def test_stores_are_bounded_and_stay_right(monkeypatch):
     assert len(encoder.words) <= 8 and len(encoder.words.older) <= 8
 
 
+def own_tokenizer(pattern):
+    """The dealt tokenizer with another word pattern and a merge of a letter and a mark."""
+    spec = json.loads(SPEC)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+    model = spec["model"]
+    model["vocab"]["g.</w>"] = len(model["vocab"]) + 10
+    model["merges"].insert(0, "g .</w>" if isinstance(model["merges"][0], str) else ["g", ".</w>"])
+    return json.dumps(spec)
+
+
+@pytest.mark.parametrize(
+    "pattern", [r"[^\s]+", r"[\p{L}.]+|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", r"'s|'t|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
+)
+def test_marks_stand_apart_only_where_the_pattern_says_so(pattern):
+    spec = own_tokenizer(pattern)
+    tokenizer, encoder = Tokenizer.from_str(spec), bpe.Encoder(spec)
+    for text in ("a thing. of", "sing.g. (g.) x-g.'s it's 'tis 1g.", "don't you'll <|endoftext|>g. <|endoftext|>"):
+        (data, offsets), = [x[2:] for x in common.text_slices(pa.array([text]))]
+        (ids,) = encoder.encode_slice(data, offsets)
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ascii_words_are_split_as_the_tokenizer_does():
+    tokenizer, encoder = Tokenizer.from_str(SPEC), bpe.Encoder(SPEC)
+    assert encoder.words.plain
+    draw = random.Random(8)
+    marks = "".join(map(chr, range(33, 127)))
+    for _ in range(3000):
+        word = "".join(draw.choice([draw.choice(marks), draw.choice("abst019'"), "'ll", "<|", "|>"]) for _ in range(draw.randrange(1, 9)))
+        (data, offsets), = [x[2:] for x in common.text_slices(pa.array([word]))]
+        (ids,) = encoder.encode_slice(data, offsets)
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="white space"):
         bpe.Encoder(bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulemesh.llm.common import batch_slices, fresh, powers, prefix_hash
+from rulemesh.llm.common import batch_slices, fresh, give_back, powers, prefix_hash
 
 #: Bytes that decide whether a chunk ends, and the usual length of a chunk (2 ** 9 bytes).
 WINDOW = 16
@@ -337,6 +337,7 @@ def round_trips(docs: DataFrame, path: str, with_ids: bool = False, word_bytes:
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
                 ] + [id_lists(encoded)] * with_ids
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*others, *names])
+        give_back()
 
     kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
     fields = [T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]

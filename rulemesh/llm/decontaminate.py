@@ -39,6 +39,7 @@ from rulemesh.llm.common import (
     batch_slices,
     distinct,
     fresh,
+    give_back,
     sequence_hash,
     shingles,
     text_slices,
@@ -251,6 +252,7 @@ def _pass(docs: DataFrame, items: pa.Table, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(rows, _ARROW)], names=[*batch.schema.names, name]
                 )
+        give_back()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, MATCH)]))
 

@@ -39,6 +39,7 @@ from rulemesh.llm.common import (
     batch_slices,
     distinct,
     fresh,
+    give_back,
     mixed,
     shingles,
 )
@@ -107,6 +108,7 @@ def _set_names(own: np.ndarray) -> tuple[np.int64, np.int64]:
 def _slices(batches):
     for batch in batches:
         yield from batch_slices(batch)
+    give_back()
 
 
 def profiles(docs: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemesh.llm.bpe import Encoder, tokenizer_json, worker
-from rulemesh.llm.common import batch_slices
-from rulemesh.session import cut_lineage
+from rulemesh.llm.common import batch_slices, give_back
+from rulemesh.llm.fingerprint import range_bounds, range_of
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 500
@@ -50,6 +50,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), raw.cast(pa.binary())], names=["doc_id", "raw"]
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, raw binary")
 
@@ -61,8 +62,8 @@ def id_type(vocabulary: int, end_id: int) -> str:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, files: int | None = None) -> None:
     """Writes the ids of ``docs`` (doc_id, text), each followed by ``end_id``, under ``path``.
 
-    The encoded ids are stored, then dealt out by ranges of ``doc_id`` and sorted there, so that
-    all files of a lower number hold lower ids. No text is shuffled.
+    The encoded ids are dealt out by ranges of ``doc_id``, fixed before, and sorted there, so that
+    all files of a lower number hold lower ids. No text is shuffled, and each is encoded once.
     """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -88,8 +89,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, files: int |
                 names=["doc_id", "file_no", "first_in_file", "n_tokens", "ids"],
             )
 
-    stored = cut_lineage(encoded(docs, tokenizer, end_id))
-    ordered = stored.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "raw")
+    bounds = range_bounds(docs, files)
+    low_first = F.lit(len(bounds)) - range_of(F.col("doc_id"), bounds)
+    dealt = encoded(docs, tokenizer, end_id).repartitionById(len(bounds) + 1, low_first)
+    ordered = dealt.sortWithinPartitions("doc_id", "raw")
     (
         ordered.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")

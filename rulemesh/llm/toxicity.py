@@ -29,6 +29,7 @@ from rulemesh.llm.common import (
     distinct,
     fold,
     fresh,
+    give_back,
     mixed,
     sample_share,
     sequence_hash,
@@ -144,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Weights
                 ],
                 names=["bucket", "weight"],
             )
+        rows.clear()
+        give_back()
 
     drawn_rows = known.mapInArrow(features, "doc_id long, _toxic int, buckets binary")
     learnt = (
@@ -185,6 +188,7 @@ def with_scores(docs: DataFrame, weights: Weights, names: tuple[str, str]) -> Da
                 [*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                 names=[*batch.schema.names, *names],
             )
+        give_back()
 
     added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return kept.mapInArrow(apply, T.StructType([*kept.schema.fields, *added]))

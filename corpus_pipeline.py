@@ -11,6 +11,9 @@ from rulemesh.llm.common import table
 from rulemesh.llm.queries import TOKENIZER
 from rulemesh.session import cut_lineage, ship_package
 
+#: Bound of a worker's store of words in the last stage; the earlier stages' workers still run then.
+WORD_BYTES = 24 << 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,7 +43,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the ids, and digests of the ids and of what they decode to."""
     ship_package(spark)
     kept = docs.select("doc_id", "text", "lang", "source")
-    return bpe.round_trips(kept, TOKENIZER, with_ids=True)
+    return bpe.round_trips(kept, TOKENIZER, with_ids=True, word_bytes=WORD_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [

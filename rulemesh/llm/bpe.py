@@ -130,8 +130,11 @@ class _Words(dict):
         return b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
 
     def _unknown(self, word: bytes) -> bytes:
-        if not self.plain or any(mark in word for mark in self.added):
+        if not self.plain:
             return self._whole(word.decode("utf-8", "replace"))
+        for mark in self.added:
+            if mark in word:
+                return self._whole(word.decode("utf-8", "replace"))
         if _PRINTED.fullmatch(word):
             parts = self.split.findall(word)
             return self._plain(parts[0].decode()) if len(parts) == 1 else b"".join([self[p] for p in parts])
@@ -167,7 +170,7 @@ class Encoder:
         self.tokenizer.no_padding()
         lower = (parsed.get("normalizer") or {}).get("normalizers", [])
         self.lowers = any(step.get("type") == "Lowercase" for step in lower)
-        self.added = [t["content"].encode()[:2] for t in parsed.get("added_tokens") or []]
+        self.added = sorted({t["content"].encode()[:2] for t in parsed.get("added_tokens") or []})
         self.words = _Words(self.tokenizer, ascii_words(parsed), self.added, word_bytes)
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         self.chunk_bytes = 0

@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rulemesh.operators.report import disable_failing, json_document, json_lines
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    results.write.mode("append").parquet(path)
+def append_results(results: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds the rows to the table at ``path``.
+
+    With ``run``, a name for this run, they lie in a partition of that name, which a repeated run
+    replaces: its rows are there once, however often it was tried. (A repetition without any row replaces nothing.)
+    Named and nameless runs do not share a table.
+    """
+    if run is None:
+        results.write.mode("append").parquet(path)
+        return
+    named = results.withColumn("run", F.lit(run))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def write_json_report(results: DataFrame, coverage: DataFrame, path: str) -> None:

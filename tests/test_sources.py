@@ -230,3 +230,13 @@ def test_disabled_files_are_disabled(spark, content):
 ])
 def test_switched_off_files_are_left_out(spark, content):
     assert disabled(spark, content) is None
+
+
+def test_a_repeated_run_leaves_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = lambda *n: spark.createDataFrame([(i, "x") for i in n], "n int, t string")
+    append_results(rows(1, 2, 2), path, "first")
+    append_results(rows(7), path, "second")
+    append_results(rows(1, 2, 2), path, "first")  # tried again
+    got = spark.read.parquet(path).select("run", "n").collect()
+    assert sorted(map(tuple, got)) == [("first", 1), ("first", 2), ("first", 2), ("second", 7)]

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemesh.functions.markup import outline_distance_udf, outline_udf
+from rulemesh.functions.passages import PASSAGE, copy_distance_udf
 from rulemesh.functions.urls import idn_url, status_class
-from rulemesh.operators.joins import fits_broadcast, keyed_join
+from rulemesh.operators.joins import fits_broadcast, keyed_join, stored
 from rulemesh.session import cut_lineage
 
 SHINGLE_WORDS = 4
@@ -225,14 +226,59 @@ def novelty_distance(
     return _beside(pairs, measured)
 
 
+def copied_distance(pairs: DataFrame, pages: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """Adds ``distance``: the larger share of the longer page that is in no passage of ``passage`` or
+    more characters both pages have.
+
+    As a binary difference does, it takes moved and repeated passages as copied; unlike one it counts in
+    characters and takes no approximate matches. Zero for equal pages, one if either page is missing; a page
+    against an empty one has distance one. Of several pages of a URL the first by digest counts.
+
+    Pairs meet the digests of their pages first. Bodies move only for contents that differ, each
+    distinct content and each distinct pair of contents once.
+    """
+    named = _needed(pairs, pages).withColumn("body_sha256", F.sha2("body", 256))
+    page = F.struct("body_sha256", F.length("body").alias("body_length"))
+    heads, _ = stored(
+        named.filter(F.col("body").isNotNull()).groupBy("url").agg(F.min(page).alias("p")).select("url", "p.*")
+    )
+    both = cut_lineage(_paired(pairs, heads, ["body_sha256", "body_length"]))
+    unequal = F.col("l_body_sha256") != F.col("r_body_sha256")
+    contents, size = stored(both.filter(unequal).select("l_body_sha256", "r_body_sha256").distinct())
+    wanted = (
+        contents.select(F.explode(F.array("l_body_sha256", "r_body_sha256")).alias("body_sha256")).distinct()
+    )
+    held = keyed_join(named, wanted, "body_sha256", "left_semi", fits=fits_broadcast(wanted))
+    bodies = cut_lineage(held.groupBy("body_sha256").agg(F.first("body").alias("body")))
+
+    def with_body(df: DataFrame, mark: str) -> DataFrame:
+        side = bodies.select(F.col("body_sha256").alias(f"{mark}_body_sha256"), F.col("body").alias(f"{mark}_body"))
+        return keyed_join(df, side, f"{mark}_body_sha256", rows=size["rows"])
+
+    compared = with_body(with_body(contents, "l"), "r").select(
+        F.concat("l_body_sha256", "r_body_sha256").alias("_contents"),
+        copy_distance_udf("l_body", "r_body", F.lit(passage)).alias("_hard"),
+    )
+    keyed = both.withColumn("_contents", F.concat("l_body_sha256", "r_body_sha256"))
+    measured = keyed_join(keyed, cut_lineage(compared), "_contents", "left").select(
+        "left_url",
+        "right_url",
+        F.col("l_body_length").alias("left_length"),
+        F.col("r_body_length").alias("right_length"),
+        F.when(~unequal, F.lit(0.0)).otherwise(F.col("_hard")).alias("distance"),
+    )
+    return _beside(pairs, measured)
+
+
 METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "markup": markup_distance,
     "bsdiff": novelty_distance,
+    "passages": copied_distance,
 }
 
 
 def page_distance(metric: str, pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Distance by metric name, ``markup`` or ``bsdiff``."""
+    """Distance by metric name, ``markup``, ``bsdiff`` or ``passages``."""
     if metric not in METRICS:
         raise ValueError(f"no distance is called {metric!r}; there are {', '.join(METRICS)}")
     return METRICS[metric](pairs, pages)

@@ -491,6 +491,13 @@ def novelty_distance(spark, folder):
     ).select("page_id", "distance")
 
 
+def copied_distance(spark, folder):
+    ship_package(spark)
+    return compare.copied_distance(
+        derived.page_pairs(spark, folder), derived.pages(spark, folder).withColumnRenamed("html", "body")
+    ).select("page_id", "distance")
+
+
 def big_distance(spark, folder):
     shown = derived.captures(spark, folder)
     distances = compare.page_distance("bsdiff", derived.twin_pairs(spark, folder), shown)
@@ -553,6 +560,7 @@ QUERIES = {
     "run_summary": run_summary,
     "markup_distance": markup_distance,
     "novelty_distance": novelty_distance,
+    "copied_distance": copied_distance,
     "big_distance": big_distance,
     "disable_failing": disable_failing,
     "disabled_files": disabled_files,

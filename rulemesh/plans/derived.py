@@ -295,6 +295,26 @@ def flawed_corpus(spark: SparkSession, folder: str) -> Corpus:
     )
 
 
+def crossing_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """``ruleset_id, host``: the corpus' targets and, for each site, further ones whose wildcards cross."""
+    own = corpus(spark, folder).targets.select("ruleset_id", "host")
+    site = F.col("site")
+    rest = F.expr("substring_index(site, '.', -2)")
+    first = F.substring_index(site, ".", 1)
+    crossing = sites(spark, folder).select(
+        F.concat(F.lit("cross-"), site).alias("ruleset_id"),
+        F.explode(
+            F.array(
+                F.concat(F.lit("www."), first, F.lit(".*."), F.element_at(F.split(site, r"\."), -1)),
+                F.concat(F.lit("*.m."), site),
+                F.concat(F.lit("m.*."), rest),
+                F.concat(F.lit("*."), F.substring(first, 1, 3), F.lit("."), rest),
+            )
+        ).alias("host"),
+    )
+    return own.unionByName(crossing)
+
+
 def certs(spark: SparkSession, folder: str) -> DataFrame:
     """A certificate file per customer; many have the same content."""
     customer = table(spark, folder, "customer")

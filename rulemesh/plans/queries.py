@@ -20,7 +20,7 @@ from rulemesh.functions.urls import (
     status_class,
 )
 from rulemesh.operators import certs as cert_ops
-from rulemesh.operators import compare, coverage, redirects, report, rewrite
+from rulemesh.operators import compare, coverage, overlap, redirects, report, rewrite
 from rulemesh.operators import corpus as corpus_ops
 from rulemesh.operators.index import build_rule_index
 from rulemesh.operators.joins import stored
@@ -517,6 +517,14 @@ def corpus_lint(spark, folder):
     return coverage.corpus_lint(tables, build_rule_index(tables))
 
 
+def overlapping_targets(spark, folder):
+    return overlap.overlapping_targets(derived.crossing_targets(spark, folder))
+
+
+def shared_wildcards(spark, folder):
+    return overlap.shared_wildcards(derived.crossing_targets(spark, folder))
+
+
 QUERIES = {
     "load_rulesets": load_rulesets,
     "malformed_files": malformed_files,
@@ -568,4 +576,6 @@ QUERIES = {
     "ruleset_file_list": ruleset_file_list,
     "load_certs": load_certs_query,
     "corpus_lint": corpus_lint,
+    "overlapping_targets": overlapping_targets,
+    "shared_wildcards": shared_wildcards,
 }

@@ -115,7 +115,16 @@ def page_outline(html: str | None) -> str | None:
 
 
 def _common_length(left: list[str], right: list[str]) -> int:
-    """Length of the longest common subsequence, one big-integer row per token."""
+    """Length of the longest common subsequence, one big-integer row per token. Common ends belong to
+    it and are cut off first."""
+    head, least = 0, min(len(left), len(right))
+    while head < least and left[head] == right[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and left[-1 - tail] == right[-1 - tail]:
+        tail += 1
+    ends = head + tail
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
     full = (1 << len(left)) - 1
     where: dict[str, int] = {}
     for i, token in enumerate(left):
@@ -124,7 +133,7 @@ def _common_length(left: list[str], right: list[str]) -> int:
     for token in right:
         hits = row & where.get(token, 0)
         row = ((row + hits) | (row - hits)) & full
-    return len(left) - row.bit_count()
+    return ends + len(left) - row.bit_count()
 
 
 def outline_distance(left: str | None, right: str | None) -> float | None:

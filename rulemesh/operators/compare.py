@@ -127,15 +127,15 @@ def _needed(pairs: DataFrame, pages: DataFrame) -> DataFrame:
 def _paired(pairs: DataFrame, pages: DataFrame, kept: list[str]) -> DataFrame:
     """The distinct pairs of URLs with the columns ``kept`` of both pages, as ``l_`` and ``r_``;
     NULL where a page is missing. ``pages`` has one row a URL; a URL in many pairs is spread."""
-    distinct = pairs.select("left_url", "right_url").distinct()
+    distinct, size = stored(pairs.select("left_url", "right_url").distinct())
 
     def side(key: str, mark: str) -> DataFrame:
         return pages.select(
             F.col("url").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in kept]
         )
 
-    with_left = keyed_join(distinct, side("left_url", "l"), "left_url", "left")
-    return keyed_join(with_left, side("right_url", "r"), "right_url", "left")
+    with_left = keyed_join(distinct, side("left_url", "l"), "left_url", "left", rows=size["rows"])
+    return keyed_join(with_left, side("right_url", "r"), "right_url", "left", rows=size["rows"])
 
 
 def _beside(pairs: DataFrame, measured: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def copied_distance(pairs: DataFrame, pages: DataFrame, passage: int = PASSAGE)
     heads, _ = stored(
         named.filter(F.col("body").isNotNull()).groupBy("url").agg(F.min(page).alias("p")).select("url", "p.*")
     )
-    both = cut_lineage(_paired(pairs, heads, ["body_sha256", "body_length"]))
+    both, paired = stored(_paired(pairs, heads, ["body_sha256", "body_length"]))
     unequal = F.col("l_body_sha256") != F.col("r_body_sha256")
     contents, size = stored(both.filter(unequal).select("l_body_sha256", "r_body_sha256").distinct())
     wanted = (
@@ -260,7 +260,7 @@ def copied_distance(pairs: DataFrame, pages: DataFrame, passage: int = PASSAGE)
         copy_distance_udf("l_body", "r_body", F.lit(passage)).alias("_hard"),
     )
     keyed = both.withColumn("_contents", F.concat("l_body_sha256", "r_body_sha256"))
-    measured = keyed_join(keyed, cut_lineage(compared), "_contents", "left").select(
+    measured = keyed_join(keyed, cut_lineage(compared), "_contents", "left", rows=paired["rows"]).select(
         "left_url",
         "right_url",
         F.col("l_body_length").alias("left_length"),

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rulemesh.operators.compare import markup_distance, novelty_distance, verdict
+from rulemesh.operators.compare import copied_distance, markup_distance, novelty_distance, verdict
 from rulemesh.operators.coverage import corpus_lint
 from rulemesh.operators.index import build_rule_index
 from rulemesh.operators.redirects import capture_heads, pair_captures, resolve_redirects
@@ -82,7 +82,7 @@ def test_captures_are_found_by_their_punycode(spark):
     assert [r.http_code for r in resolve_redirects(starts, heads).collect()] == [200, 200]
 
 
-@pytest.mark.parametrize("distance", [markup_distance, novelty_distance])
+@pytest.mark.parametrize("distance", [markup_distance, novelty_distance, copied_distance])
 def test_every_pair_gets_a_distance(spark, distance):
     pages = spark.createDataFrame(
         [("l", "<p>a b c</p>"), ("r", "<p>a b c</p>"), ("r", "<p>a b c</p>")], "url string, body string"
@@ -97,10 +97,11 @@ def test_every_pair_gets_a_distance(spark, distance):
 def test_one_page_in_many_pairs(spark, monkeypatch):
     from rulemesh.operators import compare
 
-    monkeypatch.setattr(compare.keyed_join, "__defaults__", ("inner", False, 10, None))
+    monkeypatch.setattr(compare.keyed_join, "__defaults__", ("inner", False, 10, None, None))
     pages = spark.range(300).select(F.concat(F.lit("p"), "id").alias("url"), F.lit("<p>a</p>").alias("body"))
     pairs = spark.range(300).select(F.concat(F.lit("p"), "id").alias("left_url"), F.lit("p0").alias("right_url"))
     assert novelty_distance(pairs, pages).filter("distance = 0").count() == 300
+    assert copied_distance(pairs, pages).filter("distance = 0").count() == 300
 
 
 def test_files_of_any_name_and_encoding(spark, tmp_path):

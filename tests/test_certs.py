@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from rulemesh.operators import certs
 from rulemesh.operators.certs import _bucketed, trusted_closure, unique_certs
 from rulemesh.sources.certs import load_certs, with_digest
 
@@ -84,3 +85,42 @@ def test_edges_do_not_move_in_a_round(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the frontier alone
     spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("sent_bytes, hot_rows", [(0, 10**6), (0, 8), (2000, 8), (10**6, 8)])
+def test_used_edges_are_not_dealt_out(spark, monkeypatch, sent_bytes, hot_rows):
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    pairs = [("r", f"s{i}") for i in range(20)] + [(f"s{i}", f"t{i * 7 + j}") for i in range(20) for j in range(9)]
+    pairs += [(f"t{i}", f"u{i % 11}") for i in range(140)] + [("u3", "v"), ("v", "r"), ("u3", "no"), ("no", "below")]
+    issues = spark.createDataFrame([(digest(a), digest(b)) for a, b in pairs], "issuer_sha256 string, subject_sha256 string")
+    nodes = sorted({b for _, b in pairs} - {"no"})
+    candidates = spark.createDataFrame([(digest(n),) for n in nodes], "der_sha256 string")
+    roots = spark.createDataFrame([(digest("r"),)], "der_sha256 string")
+    written = []
+
+    def recorded(table, *args, **options):
+        found = _bucketed(table, *args, **options)
+        if "issuer_sha256" in found[0].columns:
+            written.append(found[2])
+        return found
+
+    monkeypatch.setattr(certs, "_bucketed", recorded)
+    monkeypatch.setattr(certs, "SENT_BYTES", sent_bytes, raising=False)
+    got = [(r.der_sha256, r["round"]) for r in trusted_closure(roots, candidates, issues, hot_rows).collect()]
+    rounds = {"r": 0, "s": 1, "t": 2, "u": 3, "v": 4}
+    assert sorted(got) == sorted((digest(n), rounds[n[0]]) for n in {*nodes, "r"} - {"below"})
+    # dealt out before the first round that does not fit, without the edges of those before it
+    times = 2 if hot_rows == 8 else 1  # with large issuers, once more by their parts
+    assert written == {0: [len(pairs)] * times, 2000: [len(pairs) - 200], 10**6: []}[sent_bytes]
+
+
+@pytest.mark.parametrize("sent_bytes", [0, 10**6])
+def test_any_text_is_a_digest(spark, monkeypatch, sent_bytes):
+    monkeypatch.setattr(certs, "SENT_BYTES", sent_bytes, raising=False)
+    low = "0a" * 32
+    nodes = [low, low.upper(), low[:-1] + "\n", low + "\n", bytes.fromhex(low).decode(), "", "\x00" * 33, "é" * 32, "x"]
+    issues = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "issuer_sha256 string, subject_sha256 string")
+    roots = spark.createDataFrame([(low,), (None,)], "der_sha256 string")
+    candidates = spark.createDataFrame([(n,) for n in nodes], "der_sha256 string")
+    got = {r.der_sha256: r["round"] for r in trusted_closure(roots, candidates, issues).collect()}
+    assert got == {**{n: i for i, n in enumerate(nodes)}, None: 0}

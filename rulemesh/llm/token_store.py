@@ -21,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemesh.llm.bpe import Encoder, tokenizer_json, worker
+from rulemesh.llm.bpe import tokenizer_json, worker
 from rulemesh.llm.common import batch_slices, give_back
 from rulemesh.llm.fingerprint import range_bounds, range_of
+from rulemesh.llm.word_table import WordTable
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 500
@@ -34,18 +35,17 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, raw): the ids of each text and ``end_id`` as little-endian numbers, of 16 bits where the
     vocabulary allows it. Texts are encoded where they are read."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = worker(Encoder, sent.value)
-        kind = id_type(encoder.tokenizer.get_vocab_size(), end_id)
+        table = worker(WordTable, sent.value)
+        kind = id_type(table.encoder.tokenizer.get_vocab_size(), end_id)
         for whole in batches:
             for batch, data, offsets in batch_slices(whole):
-                texts = [x + end for x in encoder.encode_slice(data, offsets)]
-                ids = np.frombuffer(b"".join(texts), "<u4").astype(kind)
-                ends = np.cumsum([0, *(len(x) // 4 for x in texts)]) * ids.itemsize
+                ids, ends = table.encode_slice(data, offsets)
+                ids = np.insert(ids.astype(kind), ends, end_id)
+                ends = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * ids.itemsize
                 raw = pa.Array.from_buffers(
-                    pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]
+                    pa.large_binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), raw.cast(pa.binary())], names=["doc_id", "raw"]

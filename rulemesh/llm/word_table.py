@@ -1,7 +1,8 @@
 """Ids of all words of a slice at once, from a table of words in numpy arrays.
 
 A word of at most 16 bytes is its own key: its bytes as two numbers, and its length, so a word found is the
-word itself and never another one of the same hash. Longer words, and words not met yet, go through
+word itself and never another one of the same hash. A mark that ends a word behind a letter is a word of
+its own, where the tokenizer's pattern keeps them apart. Longer words, and words not met yet, go through
 the encoder one by one. The table has a fixed size and starts anew when half of it is used.
 """
 
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from rulemesh.llm.bpe import _SPACE, Encoder
+from rulemesh.llm.bpe import _MARKS, _SPACE, Encoder
 from rulemesh.llm.common import SLICE_BYTES
 
 #: Places of the table are 2 ** SLOT_BITS, of 22 bytes each; half of them are used at most.
@@ -19,6 +20,10 @@ SLOT_BITS = 21
 LONGEST = 16
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(_SPACE)] = False
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(_MARKS)] = True
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[97:123] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -110,6 +115,10 @@ class WordTable:
         cut[0] = cut[offsets] = True
         before = np.concatenate([[False], inside])
         after = np.concatenate([inside, [False]])
+        if words.plain:  # a mark that ends a word behind a letter stands by itself
+            body = padded[: len(raw)]
+            last = _IS_MARK[body] & (cut[1:] | ~after[1:])
+            cut[1 : len(raw)] |= last[1:] & _IS_LETTER[body[:-1]]
         starts = np.flatnonzero(after & (cut | ~before))
         ends = np.flatnonzero(before & (cut | ~after))
         size = ends - starts
@@ -126,7 +135,13 @@ class WordTable:
             where: dict[bytes, int] = {}
             for i, a, b in zip(unknown.tolist(), starts[unknown].tolist(), ends[unknown].tolist(), strict=True):
                 where.setdefault(raw[a:b], i)
-            encoded = [words._unknown(word) for word in where]
+            known_ids, tokens = words.raw, words.model.tokenize
+            encoded = [
+                b"".join([known_ids[t.id] for t in tokens(word.decode())])
+                if words.plain and word.isalpha() and word.islower()
+                else words._unknown(word)
+                for word in where
+            ]
             # the rare words of too many ids stay outside
             keep = [k for k, x in enumerate(encoded) if len(x) // 4 < 256]
             if self.used + len(keep) > 1 << (self.bits - 1):

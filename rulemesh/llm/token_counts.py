@@ -19,6 +19,11 @@ missing ones. Both ways store the same counts.
 Repeated rows stay as many as they were. Equal texts have equal counts. The special tokens
 written out in a text count as the tokenizer reads them. A very long text is cut, where the tokenizer is
 known to begin anew anyway, into pieces that are encoded one after the other.
+
+Where the tokenizer's declared steps split a text into words by the built-in expression and merge each word by
+itself, a content's count is the sum of its words' counts: a worker encodes a word when it meets
+it first and keeps its count in a store of bounded size. Stretches with characters whose kind is not
+settled below go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable
 from importlib.metadata import version as release_of
 
@@ -41,6 +47,10 @@ from rulemesh.session import cut_lineage
 ENTRY_BYTES = 64
 #: Longer texts are cut into pieces of about so many characters.
 PIECE_CHARACTERS = 1 << 18
+#: Bound of a worker's store of words, in bytes with what Python adds to an entry; longer words are not kept.
+WORD_BYTES = 64 << 20
+ENTRY_OVERHEAD = 100
+LONGEST_KEPT = 200
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
 
@@ -94,6 +104,86 @@ def pieces(text: str, size: int = PIECE_CHARACTERS) -> list[str]:
     return out
 
 
+# Letters beyond ASCII, and marks that are neither letters, digits nor white space, in every release of Unicode.
+_LETTERS = (
+    "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0388-\u038a\u038e-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0527"
+    "\u0561-\u0586\u05d0-\u05ea\u0620-\u064a\u0904-\u0939\u0e01-\u0e30\u10d0-\u10f0\u1e00-\u1eff"
+    "\u3041-\u3096\u30a1-\u30fa\u30fc-\u30fe\u4e00-\u9fa5\uac00-\ud7a3"
+)
+_MARKS = (
+    "\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e"
+    "\u20a0-\u20b9\u2190-\u21ff\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20\uff5b-\uff65"
+)
+_WHITE = " \t\n\r\x0b\x0c"
+_UNSETTLED = re.compile(f"[^\x00-\x7f{_LETTERS}{_MARKS}]")
+#: Behind a letter a space begins a new word, and what follows does not change the words before it.
+_BEGINS = re.compile(f"(?<=[{_LETTERS}])(?= )")
+
+
+def _words(letters: str) -> re.Pattern[str]:
+    """The built-in expression of byte-level tokenizers, for texts of ASCII, ``letters`` and marks."""
+    return re.compile(
+        f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[0-9]+| ?[^{_WHITE}{letters}0-9]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+    )
+
+
+_ASCII_WORDS, _ALL_WORDS = _words("A-Za-z"), _words(_LETTERS)
+_PROBES = ["It's", " we'll", "'d 'D", " caf\u00e9", "a  b \t\n c\r\n", " 42nd", "?!...", " \u201cja\u201d", "\u65e5\u672c\u8a9e", "\x00\x1c_ ~"]
+
+
+class _ByteLetters(dict):
+    """What byte-level tokenizers write for a character's bytes, for ``str.translate``."""
+
+    def __init__(self):
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, point: int) -> str:
+        self[point] = found = self.level.pre_tokenize_str(chr(point))[0][0]
+        return found
+
+
+class WordCounts(dict):
+    """Counts of tokens of words, and of stretches with unsettled characters; one not known is encoded.
+    Words not met for a while are given up."""
+
+    def __init__(self, tokenizer, most_bytes: int = WORD_BYTES):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = _ByteLetters()
+        self.older: dict[str, int] = {}
+        self.bytes, self.most_bytes = 0, most_bytes
+
+    def whole(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False))
+
+    def __missing__(self, word: str) -> int:
+        n = self.older.get(word)
+        if n is None:
+            settled = word.isascii() or not _UNSETTLED.search(word)
+            n = len(self.model.tokenize(word.translate(self.letters))) if settled else self.whole(word)
+        if len(word) > LONGEST_KEPT:
+            return n
+        size = word.__sizeof__() + ENTRY_OVERHEAD
+        self.bytes += size
+        if self.bytes > self.most_bytes // 2:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = size
+        self[word] = n
+        return n
+
+    def count(self, text: str) -> int:
+        """The count of a text without added tokens."""
+        if text.isascii():
+            return sum(map(self.__getitem__, _ASCII_WORDS.findall(text)))
+        if not _UNSETTLED.search(text):
+            return sum(map(self.__getitem__, _ALL_WORDS.findall(text)))
+        return sum(self[x] if _UNSETTLED.search(x) else self.count(x) for x in _BEGINS.split(text))
+
+
 def counter(file: bytes, library: str) -> Callable[[list[str]], list[int]]:
     """Counts of tokens, without begin, end or other tokens added to a text."""
     if library == "sentencepiece":
@@ -107,9 +197,10 @@ def counter(file: bytes, library: str) -> Callable[[list[str]], list[int]]:
     tokenizer = Tokenizer.from_str(file.decode("utf-8"))
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    cuts = _restarts_after_letters(json.loads(file))
+    spec = json.loads(file)
+    cuts = _restarts_after_letters(spec)
 
-    def count(texts: list[str]) -> list[int]:
+    def encoded(texts: list[str]) -> list[int]:
         short = [t if not cuts or len(t) <= PIECE_CHARACTERS else "" for t in texts]
         counts = [len(x) for x in tokenizer.encode_batch_fast(short, add_special_tokens=False)]
         for i, text in enumerate(texts):
@@ -117,6 +208,17 @@ def counter(file: bytes, library: str) -> Callable[[list[str]], list[int]]:
                 counts[i] = sum(len(tokenizer.encode(p, add_special_tokens=False)) for p in pieces(text))
         return counts
 
+    words = WordCounts(tokenizer)
+    if not cuts or spec["model"].get("dropout") or any(words.count(p) != words.whole(p) for p in _PROBES):
+        return encoded
+    added = [t["content"] for t in spec.get("added_tokens") or []]
+
+    def count(texts: list[str]) -> list[int]:
+        return [
+            encoded([text])[0] if any(a in text for a in added) else sum(map(words.count, pieces(text)))
+            for text in texts
+        ]
+
     return count
 
 

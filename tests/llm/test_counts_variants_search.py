@@ -126,6 +126,33 @@ def test_pieces_of_long_texts_count_alike():
     assert token_counts.pieces("x" * 50, 10) == ["x" * 50]
 
 
+KINDS = [
+    "'", "s", "ll", "'re", "The", " word", "é", "ß", "日", "я", "ם", "क", "ि", "\u0301", "ª", "7", "²", "½", "٣", "“", "…", "×", "😀", "!?", "_",
+    " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\x00", "<|", "<|endoftext|>", "x" * 300,
+]
+
+
+@pytest.mark.parametrize("most_bytes", [0, 2000, 1 << 20])
+def test_counts_by_words_equal_the_library(monkeypatch, most_bytes):
+    monkeypatch.setattr(token_counts.WordCounts.__init__, "__defaults__", (most_bytes,))
+    count = token_counts.counter(token_counts.tokenizer_file(queries.BYTE_TOKENIZER), "tokenizers")
+    tokenizer = Tokenizer.from_file(queries.BYTE_TOKENIZER)
+    said = ["".join(DRAW.choices(KINDS, k=DRAW.randint(0, 30))) for _ in range(1500)]
+    said += [f"ab{chr(c)}cd {chr(c)}{chr(c)} 1{chr(c)}" for c in range(0x3100)]
+    assert count(said) == [len(tokenizer.encode(t, add_special_tokens=False)) for t in said]
+
+
+def test_known_words_are_not_encoded_again():
+    words = token_counts.WordCounts(Tokenizer.from_file(queries.BYTE_TOKENIZER))
+    said = " several words, più parole \u0301 and “more”"
+    first = words.count(said)
+    words.model = words.tokenizer = None  # a second look would fail
+    assert words.count(said * 3) == 3 * first and words.bytes < 5000
+    bounded = token_counts.WordCounts(Tokenizer.from_file(queries.BYTE_TOKENIZER), 20_000)
+    bounded.count(" ".join(map(str, range(5000))))
+    assert len(bounded) + len(bounded.older) < 200
+
+
 # Spelling variants
 
 
